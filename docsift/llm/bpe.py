@@ -32,7 +32,7 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{
 BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 WORD_END = "\x00"
 #: Words remembered by a Python worker; the memo starts afresh beyond it, so memory is bounded.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 400_000
 
 
 @lru_cache(1)
@@ -124,25 +124,26 @@ class Bpe:
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
         s = self.shaped(word)
+        length, shorter, fits = self.length, self.shorter, self.fits
         n, longest = len(s), [-1] * (len(s) + 1)
         for end, token in self.automaton.iter(s):
-            longest[end + 1 - self.length[token]] = max(longest[end + 1 - self.length[token]], token, key=lambda t: self.length[t] if t >= 0 else 0)
+            longest[end + 1 - length[token]] = token  # ends ascend, so the longest comes last
         path: list[int] = []
-        at, token, dead = 0, longest[0], bytearray(n + 1)
+        at, token, dead, before = 0, longest[0], bytearray(n + 1), -1
         while at < n:
-            while token >= 0 and (dead[at + self.length[token]] or path and not self.fits[path[-1], token]):
-                token = self.shorter[token]
+            while token >= 0 and (dead[at + length[token]] or before >= 0 and not fits[before, token]):
+                token = shorter[token]
             if token >= 0:
                 path.append(token)
-                at += self.length[token]
-                token = longest[at]
+                at += length[token]
+                before, token = token, longest[at]
             else:
                 dead[at] = 1
                 if not path:
                     raise ValueError(f"no encoding for {word!r}")
                 token = path.pop()
-                at -= self.length[token]
-                token = self.shorter[token]
+                at -= length[token]
+                before, token = path[-1] if path else -1, shorter[token]
         return [self.ids[t] for t in path]
 
     def prefix_counts(self, s: str) -> list[int]:
@@ -206,10 +207,11 @@ def load(path: str) -> Bpe:
 @lru_cache(4)
 def _digests(path: str) -> Memo:
     model = load(path)
+    names, piece = [str(i) for i in range(len(model.offsets) - 1)], model.piece
 
     def of(word: str) -> tuple[int, str, str]:
         ids = model.encode_word(word)
-        return len(ids), " ".join(map(str, ids)), model.decode(ids)
+        return len(ids), " ".join([names[i] for i in ids]), " ".join([piece(i) for i in ids])
 
     return Memo(of)
 
@@ -241,11 +243,12 @@ def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     if added >= 0:
                         parts.append((1, str(added), section))
                     else:
-                        parts += [memo[w] for w in model.words(section)]
+                        parts += map(memo.__getitem__, model.words(section))
+                counts, ids, pieces = zip(*parts, strict=True) if parts else ((), (), ())
                 out[0].append(doc_id)
-                out[1].append(sum([p[0] for p in parts]))
-                out[2].append(sha(" ".join([p[1] for p in parts])))
-                out[3].append(sha(" ".join([p[2] for p in parts])))
+                out[1].append(sum(counts))
+                out[2].append(sha(" ".join(ids)))
+                out[3].append(sha(" ".join(pieces)))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
