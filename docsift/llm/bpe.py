@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,9 +28,12 @@ from docsift.llm.common import batch_rows, texts
 
 # The white space of Unicode's White_Space property.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-# The pre-tokenization patterns of the public vocabulary files.
-WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
-BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+# The pre-tokenization patterns of the public vocabulary files, for letters, numbers and white space as given.
+_WORDS = "[{L}]+|'(?:s|t|re|ve|m|ll|d)|[{N}]|[^{S}{L}{N}]+"
+_BYTES = " ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+_UNICODE = {"L": r"\p{L}", "N": r"\p{N}", "S": SPACES}
+# The same classes within Latin-1, for which the plain engine takes half the time.
+_LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\\t-\\r \x85\xa0"}
 WORD_END = "\x00"
 #: Words remembered by a Python worker; the memo starts afresh beyond it, so memory is bounded.
 MEMO_WORDS = 400_000
@@ -67,7 +71,8 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.lowers = bool(self.suffix)
-        self.pattern = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN)
+        shape = _WORDS if self.lowers else _BYTES
+        self.pattern, self.latin = regex.compile(shape.format(**_UNICODE)), re.compile(shape.format(**_LATIN))
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added_pattern = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -174,7 +179,11 @@ class Bpe:
         if self.lowers:
             s = section if section.isascii() else unicodedata.normalize("NFC", section)
             section = s.lower() if "Σ" not in s else "".join([c.lower() for c in s])
-        return self.pattern.findall(section)
+        try:
+            section.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(section)
+        return self.latin.findall(section)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
