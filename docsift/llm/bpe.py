@@ -35,8 +35,8 @@ _UNICODE = {"L": r"\p{L}", "N": r"\p{N}", "S": SPACES}
 # The same classes within Latin-1, for which the plain engine takes half the time.
 _LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\\t-\\r \x85\xa0"}
 WORD_END = "\x00"
-#: Words remembered by a Python worker; the memo starts afresh beyond it, so memory is bounded.
-MEMO_WORDS = 400_000
+#: Words in a generation of a Python worker's memo.
+MEMO_WORDS = 200_000
 
 
 @lru_cache(1)
@@ -48,16 +48,24 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and holds a bounded number of entries."""
+    """A dict that computes what it lacks.
+
+    It holds two generations of at most ``size`` entries: when the newer is full it becomes the older, and entries that are
+    asked for again move up, so frequent ones stay while memory is bounded.
+    """
 
     def __init__(self, compute, size: int = MEMO_WORDS):
         super().__init__()
-        self.compute, self.size = compute, size
+        self.compute, self.size, self.older = compute, size, {}
 
     def __missing__(self, key):
         if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        self[key] = out = self.compute(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.compute(key)
+        self[key] = out
         return out
 
 
@@ -96,7 +104,7 @@ class Bpe:
         self.automaton.make_automaton()
         known = {s: r for r, s in enumerate(self.shape)}
         self.shorter = [next((known[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in known), -1) for s in self.shape]
-        self.fits = Memo(self._fits, 500_000)
+        self.fits = Memo(self._fits, 250_000)
         # Decoding: the texts of all ids in one string and where each begins.
         texts_of = {**names, **{i: s for s, i in self.added.items()}}
         self.offsets, self.blob = [0], "".join(texts_of.get(i, "") for i in range(max(texts_of) + 1))

@@ -114,7 +114,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 1024) ->
             for doc_id, text in batch_rows(batch, "doc_id", "text"):
                 n = 0
                 for section, added in model.sections(text):
-                    n += 1 if added >= 0 else sum([memo[w] for w in model.words(section)])
+                    n += 1 if added >= 0 else sum(map(memo.__getitem__, model.words(section)))
                 out[0].append(doc_id)
                 out[1].append(len(text.encode("utf-8", "surrogatepass")))
                 out[2].append(n)

@@ -32,9 +32,9 @@ SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int
 
 @lru_cache(4)
 def _ids(path: str) -> Memo:
-    """Little-endian ids of a pre-token, from the tokenizers library."""
-    library = Tokenizer.from_file(path)
-    return Memo(lambda word: np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+    """Little-endian ids of a pre-token, from the byte-pair model of the tokenizers library."""
+    model, shaped = Tokenizer.from_file(path).model, load(path).shaped
+    return Memo(lambda word: np.array([t.id for t in model.tokenize(shaped(word))], "<u4").tobytes())
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
@@ -51,7 +51,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
                     if added >= 0:
                         parts.append(np.array([added], "<u4").tobytes())
                     else:
-                        parts += [memo[w] for w in model.words(section)]
+                        parts += map(memo.__getitem__, model.words(section))
                 parts.append(end)
                 data.append(b"".join(parts))
                 doc_ids.append(doc_id)
