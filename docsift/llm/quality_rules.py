@@ -24,7 +24,7 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 THRESHOLD = 0.5
 #: A rule's bad vote is taken to hit at most this share of good texts; it keeps the hidden class from settling on one kind of bad text.
-FALSE_ALARM = 0.01
+FALSE_ALARM = 0.002
 
 
 def let(value: Column, then) -> Column:
@@ -100,34 +100,34 @@ def votes(c: Column) -> list[Column]:
     ]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, float]]]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[dict[int, float]]]:
     """Prior log odds of good and, for each rule, the log odds that each vote adds, by expectation-maximisation.
 
-    Starts from bad votes that are seldom wrong and good votes that say little, as a text breaks few rules even if it is bad,
-    and smooths each rule's votes by one pseudo-observation; the prior is kept between 0.5 and 0.99, since a corpus that is
-    mostly bad cannot be told from a flipped labelling.
+    A rule has two unknown rates: how often it votes bad on bad texts and on good ones, among the texts on which it votes;
+    abstaining says nothing.  The second is held to ``FALSE_ALARM`` at most, the prior share of good between 0.5 and 0.99,
+    since a corpus that is mostly bad cannot be told from a flipped labelling; each rate is smoothed by one observation.
     """
     rules = len(patterns[0][0]) if patterns else 0
-    weight = {-1: -3.0, 0: 0.0, 1: 0.2}
-    odds, prior = [dict(weight) for _ in range(rules)], math.log(0.85 / 0.15)
+    share, hits, alarms = 0.85, [0.3] * rules, [FALSE_ALARM] * rules
     total = sum(n for _, n in patterns)
+
+    def odds() -> list[dict[int, float]]:
+        return [{-1: min(0.0, math.log(a / h)), 0: 0.0, 1: max(0.0, math.log((1 - a) / (1 - h)))} for h, a in zip(hits, alarms, strict=True)]
+
     for _ in range(rounds if total else 0):
-        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(o[v] for o, v in zip(odds, pattern, strict=True)))))) for pattern, _ in patterns]
-        mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
-        share = min(0.99, max(0.5, mass / total))
-        new = math.log(share / (1 - share))
+        weights, prior = odds(), math.log(share / (1 - share))
+        good = [1 / (1 + math.exp(-(prior + sum(o[v] for o, v in zip(weights, pattern, strict=True))))) for pattern, _ in patterns]
+        before = share
+        share = min(0.99, max(0.5, sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) / total))
         for k in range(rules):
-            for vote in (-1, 1):
-                has = [(g * n, (1 - g) * n) for g, (p, n) in zip(good, patterns, strict=True) if p[k] == vote]
-                in_good = (sum(x for x, _ in has) + (0.9 if vote > 0 else 0.1)) / (mass + 1.5)
-                in_bad = (sum(y for _, y in has) + (0.1 if vote > 0 else 0.9)) / (total - mass + 1.5)
-                step = math.log((min(in_good, FALSE_ALARM) if vote < 0 else in_good) / in_bad)
-                # A vote never counts against its own direction, and abstaining stays neutral: this pins down which class is good.
-                odds[k][vote] = max(0.0, step) if vote > 0 else min(0.0, step)
-        if abs(new - prior) < 1e-9:
+            cast = [(g, n, p[k]) for g, (p, n) in zip(good, patterns, strict=True) if p[k]]
+            bad = sum((1 - g) * n for g, n, _ in cast)
+            fine = sum(g * n for g, n, _ in cast)
+            hits[k] = (sum((1 - g) * n for g, n, v in cast if v < 0) + 0.3) / (bad + 1)
+            alarms[k] = min(FALSE_ALARM, (sum(g * n for g, n, v in cast if v < 0) + FALSE_ALARM) / (fine + 1))
+        if abs(before - share) < 1e-12:
             break
-        prior = new
-    return prior, odds
+    return math.log(share / (1 - share)), odds()
 
 
 def posterior(c: Column, prior: float, odds: list[dict[int, float]]) -> Column:
