@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,12 +174,14 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple = (None, None)
+        unpack = zstandard.ZstdDecompressor().decompress
+        shingles = lambda packed: shingle_set(unpack(packed).decode("utf-8", "surrogatepass"))
         for batch in batches:
             keep = []
             for text_a, text_b in batch_rows(batch, "text_a", "text_b"):
                 if seen[0] != text_a:
-                    seen = text_a, shingle_set(text_a)
-                x, y = seen[1], shingle_set(text_b)
+                    seen = text_a, shingles(text_a)
+                x, y = seen[1], shingles(text_b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -190,7 +193,7 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -
     """The pairs whose full sets have 100 * intersection >= percent * union.  Hot nodes are left to the skew join."""
     sketch = lambda x: classes.select(F.col("node").alias(x), F.col("signature").alias(f"sketch_{x}"))
     likely = pairs.select("a", "b").join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long")
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("packed_text").alias(f"text_{x}"))
     both = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
@@ -216,6 +219,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         seen = state
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the compressed text, so a shuffle moves less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for (t,) in batch_rows(batch, "text")]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], ["doc_id", "packed_text"])
+
+    return docs.mapInArrow(run, "doc_id long, packed_text binary")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (whether it is that document)."""
     docs = texts(docs, id_col=id_col, text_col=text_col)
@@ -224,7 +240,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     classes = materialize(per_set.where("doc_id is not null").select(F.col("doc_id").alias("node"), "set_key", "signature"), "classes")
     pairs = candidates(classes)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = materialize(docs.join(wanted, "doc_id"), "candidate-texts", compression="zstd")
+    # The wanted ids grow with the corpus, so this is a merge join at every size.
+    text = materialize(_packed(docs).join(wanted.hint("merge"), "doc_id"), "candidate-texts", compression="none")
     sure = materialize(links(pairs.where("first"), classes, text, percent), "links")
     groups = components(sure)
     of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
