@@ -210,15 +210,17 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
 
 def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items whose strings all repeat, and those to refine with one settled member of each of their keys."""
-    twice = items.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    shared = materialize(items.join(twice, "core").select("doc_id", "crc", "packed", "core", "reach"), "shared-buckets")
-    keys = shared.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "crc", "packed")).alias("one"))
-    marked = materialize(shared.join(keys.select("core", "reach", "n"), ["core", "reach"]), "marked-buckets")
+    # Keys are written before they are joined: only a join of two shuffled tables can split a hot key.
+    twice = materialize(items.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "repeated-keys")
+    shared = materialize(items.join(twice.hint("merge"), "core").select("doc_id", "crc", "packed", "core", "reach"), "shared-buckets")
+    keys = materialize(shared.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "crc", "packed")).alias("one")), "bucket-keys")
+    marked = materialize(shared.join(keys.select("core", "reach", "n").hint("merge"), ["core", "reach"]), "marked-buckets")
     repeated = marked.where("n > 1").select("doc_id", "crc", "packed")
     open_items = marked.where("n = 1").select("doc_id", "crc", "packed", "core")
-    stand_ins = keys.where("n > 1").join(open_items.select("core").distinct(), "core", "left_semi").select("one.*", "core")
+    open_cores = materialize(open_items.select("core").distinct(), "open-keys")
+    stand_ins = keys.where("n > 1").select("one.*", "core").join(open_cores.hint("merge"), "core", "left_semi").select("doc_id", "crc", "packed", "core")
     refine = materialize(open_items.union(stand_ins), "open-buckets")
-    drop_scratch(shared)
+    drop_scratch(twice, shared, keys, open_cores)
     return repeated, refine
 
 
