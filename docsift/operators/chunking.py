@@ -1,0 +1,184 @@
+"""Section-aware chunks.  A document's blocks are packed in order by rules that depend on what was packed before, so each
+document is one grouped call; documents are bounded, and everything around the packing stays in DataFrame functions."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docsift.config import DEFAULT, Config
+
+# Where long texts are split, in order of preference, and block types with rules of their own.
+SEPARATORS = ["\n\n", "。", "；", "\n", "！", "？", "，", " ", ""]
+TABLES = {"table"}
+CAPTIONS = {"caption", "table_caption", "figure_caption", "image_caption"}
+OBJECTS = {"table", "formula", "equation", "interline_equation", "image", "chart"}
+FORMULAS = {"formula", "equation", "interline_equation"}
+PREFIX, NO_SECTION = "章节：", "未分章节"
+CHUNK = "document_id string, segment_index int, text string, n_chars int, source_block_ids array<long>, section_path array<string>, atomic boolean"
+
+
+def split_text(text: str, limit: int, overlap: int = 0, separators: list[str] | None = None) -> list[str]:
+    """Pieces of at most ``limit`` characters, cut at the first separator that occurs; a separator stays with what follows it."""
+    options = SEPARATORS if separators is None else separators
+    at = next((k for k, s in enumerate(options) if not s or s in text), len(options) - 1)
+    sep, rest = options[at], options[at + 1 :]
+    if sep:
+        first, *more = text.split(sep)
+        parts = [p for p in [first, *(sep + m for m in more)] if p]
+    else:
+        parts = list(text)
+    out: list[str] = []
+    held: list[str] = []
+
+    def close() -> None:
+        if joined := "".join(held).strip():
+            out.append(joined)
+
+    for part in parts:
+        if len(part) > limit and rest:
+            close()
+            held.clear()
+            out += split_text(part, limit, overlap, rest)
+            continue
+        if held and sum(map(len, held)) + len(part) > limit:
+            close()
+            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(part) > limit):
+                held.pop(0)
+        held.append(part)
+    close()
+    return out
+
+
+def split_table(text: str, limit: int, captions: int = 0) -> list[str]:
+    """Row packs of a long table, each with the caption and header lines."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    if len(text) <= limit or len(lines) < 2:
+        return [text]
+    n = min(max(1, captions + 1), len(lines) - 1)
+    head, parts, now = "\n".join(lines[:n]), [], []
+    for line in lines[n:]:
+        if now and len(head) + sum(len(x) + 1 for x in [*now, line]) > limit:
+            parts.append("\n".join([head, *now]))
+            now = []
+        now.append(line)
+    return [*parts, "\n".join([head, *now])]
+
+
+def _siblings(a: list[str], b: list[str]) -> bool:
+    return not a and not b or len(a) == len(b) >= 2 and a[:-1] == b[:-1]
+
+
+def _regions(blocks: list[dict], c: Config) -> list[list[dict]]:
+    """Runs of one section path; small neighbours that are siblings are joined until the target size."""
+    runs: list[list[dict]] = []
+    for b in blocks:
+        if runs and runs[-1][-1]["path"] == b["path"]:
+            runs[-1].append(b)
+        else:
+            runs.append([b])
+    size = lambda run: sum(len(b["text"]) for b in run)
+    hard = lambda run: any(b["type"] in TABLES | {"code", "reference", "ref_text"} for b in run)
+    out, at = [], 0
+    while at < len(runs):
+        group, total = [runs[at]], size(runs[at])
+        while at + len(group) < len(runs) and total < c.chunk_target:
+            new = runs[at + len(group)]
+            if not ((total < c.chunk_min or size(new) < c.chunk_min) and _siblings(group[-1][-1]["path"], new[0]["path"]) and total + size(new) <= c.chunk_hard) or hard(group[-1]) or hard(new):
+                break
+            group.append(new)
+            total += size(new)
+        out.append([b for run in group for b in run])
+        at += len(group)
+    return out
+
+
+def _units(region: list[dict], soft: int) -> list[dict]:
+    """What is packed as one: captions with their object, parts of tables, atomic blocks, pieces of long texts."""
+    units, at = [], 0
+    while at < len(region):
+        own = [region[at]]
+        if at + 1 < len(region) and {region[at]["type"] in CAPTIONS, region[at + 1]["type"] in CAPTIONS} == {True, False} and (region[at]["type"] in OBJECTS or region[at + 1]["type"] in OBJECTS):
+            own.append(region[at + 1])
+        at += len(own)
+        text, ids = "\n".join(b["text"] for b in own), [b["seq"] for b in own]
+        table, atomic = any(b["type"] in TABLES for b in own), any(b["atomic"] or b["type"] in FORMULAS for b in own)
+        captions = sum(b["type"] in CAPTIONS for b in own[:-1])
+        parts = split_table(text, soft, captions) if table else [text] if atomic or len(text) <= soft else split_text(text, soft)
+        units += [{"text": p, "ids": ids, "table": table, "atomic": atomic} for p in parts]
+    return units
+
+
+def pack(blocks: list[dict], c: Config = DEFAULT) -> list[dict]:
+    """Chunks of a document's blocks in order: text with its section line, ids of its blocks, path, atomic."""
+    chunks = []
+    for region in _regions(blocks, c):
+        paths = [b["path"] for b in region]
+        path = paths[0]
+        for other in paths[1:]:
+            n = next((k for k, (x, y) in enumerate(zip(path, other, strict=False)) if x != y), min(len(path), len(other)))
+            path = path[:n]
+        path = path or paths[0]
+        head = PREFIX + (" > ".join(path) or NO_SECTION) + "\n"
+        soft = max(256, c.chunk_soft - len(head))
+        hard = max(soft, c.chunk_hard - len(head))
+        now: list[dict] = []
+
+        def close(now=now, head=head, path=path) -> None:
+            if now:
+                chunks.append({"text": head + "\n\n".join(u["text"] for u in now), "ids": list(dict.fromkeys(i for u in now for i in u["ids"])), "path": path, "atomic": any(u["atomic"] for u in now)})
+                now.clear()
+
+        for unit in _units(region, soft):
+            size = sum(len(u["text"]) + 2 for u in now) - 2 if now else 0
+            new = size + 2 + len(unit["text"])
+            fits = new <= soft or new <= hard and (size < c.chunk_min or len(unit["text"]) < c.chunk_min)
+            if now and (unit["table"] or now[-1]["table"] or not fits):
+                close()
+            now.append(unit)
+        close()
+    return chunks
+
+
+def chunk_documents(blocks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``CHUNK`` rows of blocks with document_id, block_seq, text, block_type, section_path, atomic, excluded."""
+    usable = blocks.where(~F.col("excluded") & (F.trim("text") != ""))
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block_seq")
+        rows = [{"seq": int(r.block_seq), "text": r.text, "type": r.block_type, "path": list(r.section_path), "atomic": bool(r.atomic)} for r in pdf.itertuples()]
+        made = pack(rows, config)
+        return pd.DataFrame({"document_id": [pdf["document_id"].iloc[0]] * len(made), "segment_index": range(len(made)), "text": [m["text"] for m in made], "n_chars": [len(m["text"]) for m in made], "source_block_ids": [m["ids"] for m in made], "section_path": [m["path"] for m in made], "atomic": [m["atomic"] for m in made]})
+
+    return usable.groupBy("document_id").applyInPandas(of, CHUNK)
+
+
+def chunk_report(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """document_id with counts and length percentiles of its chunks."""
+    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n_chars)")
+    return chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.min("n_chars").alias("shortest"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("n_chars").alias("longest"), F.count_if(F.col("n_chars") < config.chunk_min).alias("below_minimum"), F.count_if(F.col("n_chars") > config.chunk_hard).alias("above_hard"))
+
+
+def integrity(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """document_id and whether its chunks hold every usable block once and in order."""
+    wanted = blocks.where(~F.col("excluded") & (F.trim("text") != "")).groupBy("document_id").agg(F.array_sort(F.collect_list(F.col("block_seq").cast("long"))).alias("wanted"))
+    order = F.array_sort(F.collect_list(F.struct("segment_index", "source_block_ids")))
+    held = chunks.groupBy("document_id").agg(F.array_distinct(F.flatten(F.transform(order, lambda s: s["source_block_ids"]))).alias("held"))
+    return wanted.join(held, "document_id", "left").select("document_id", F.coalesce(F.col("wanted") == F.col("held"), F.lit(False)).alias("complete"))
+
+
+def runs(rows: DataFrame, group: str, order: list[str], key: str) -> DataFrame:
+    """Contiguous rows of one key within a group: group, run, key, n."""
+    w = Window.partitionBy(group).orderBy(*order)
+    changed = F.when(F.col(key).eqNullSafe(F.lag(key).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    return rows.withColumn("changed", changed).withColumn("run", F.sum("changed").over(w)).groupBy(group, "run").agg(F.min(key).alias(key), F.count("*").alias("n"))
+
+
+def neighbours(chunks: DataFrame, radius: int = 1) -> DataFrame:
+    """document_id, segment_index, neighbour_index, neighbour_text within ``radius``, the segment itself left out."""
+    w = Window.partitionBy("document_id").orderBy("segment_index")
+    near = [F.struct(f(c, d).over(w).alias("i"), f(t, d).over(w).alias("t")) for d in range(1, radius + 1) for f in (F.lag, F.lead) for c, t in (("segment_index", "text"),)]
+    around = chunks.select("document_id", "segment_index", F.array(*near).alias("near"))
+    rows = around.select("document_id", "segment_index", F.explode("near").alias("n")).where("n.i is not null")
+    return rows.where(F.abs(F.col("n.i") - F.col("segment_index")) <= radius).select("document_id", "segment_index", F.col("n.i").alias("neighbour_index"), F.col("n.t").alias("neighbour_text"))

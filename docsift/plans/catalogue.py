@@ -2,10 +2,334 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsift.config import DEFAULT
+from docsift.functions import text as T
+from docsift.operators import answers, chunking, cleaning, evaluation, history, reconcile, retrieval
+from docsift.streaming import ingest
+
+TOKEN_SQL = r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*(?:%|\x{FF05})?|[\x{3400}-\x{9fff}]+"
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def items(self) -> DataFrame:
+        return self.benchmark.select("item_id", "text")
+
+    def docs(self) -> DataFrame:
+        return self.documents.select("doc_id", "text")
+
+    def blocks(self) -> DataFrame:
+        """Lines of documents as blocks, five to a page; every third line is a title of a level that follows its length."""
+        rows = self.documents.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("block_seq", "text"))
+        level = F.when(F.col("block_seq") % 3 == 0, 1 + F.length("text") % 6)
+        return rows.withColumns({"page": F.floor(F.col("block_seq") / 5).cast("int") + 1, "block_type": F.lit("text"), "level": level.cast("int"), "atomic": F.lit(False), "excluded": F.lit(False)})
+
+    def bm25(self, k: int = DEFAULT.bm25_top_k) -> DataFrame:
+        return retrieval.bm25_topk(self.docs(), self.items(), "doc_id", "item_id", k=k)
+
+    def gold(self) -> DataFrame:
+        return retrieval.containing(self.docs(), self.items(), "doc_id", "item_id")
+
+    def fused(self) -> DataFrame:
+        routes = {"bm25": self.bm25(), "overlap": retrieval.overlap_topk(self.docs(), self.items(), "doc_id", "item_id", DEFAULT.bm25_top_k)}
+        return retrieval.reciprocal_rank_fusion(routes, "item_id", "doc_id")
+
+    def reranked(self) -> DataFrame:
+        hits = self.fused().join(self.docs(), "doc_id").join(self.items().select("item_id", F.col("text").alias("question")), "item_id")
+        return retrieval.rerank(hits, "item_id", "doc_id", retrieval.overlap_logit(F.col("question"), F.col("text"))).select("item_id", "doc_id", "logit", "score", "rerank_rank")
+
+    def gate(self) -> DataFrame:
+        return retrieval.evidence_gate(self.items(), self.reranked(), "item_id", 0.8)
+
+    def metrics(self) -> DataFrame:
+        return evaluation.retrieval_metrics(self.items(), self.bm25(5), self.gold(), "item_id", "doc_id")
+
+    def evaluated(self) -> DataFrame:
+        kinds = self.items().select("item_id", F.when(F.length("text") < 200, "short").otherwise("long").alias("question_type"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("difficulty"))
+        return self.metrics().join(self.gate(), "item_id").join(kinds, "item_id")
+
+    def chunks(self) -> DataFrame:
+        return chunking.chunk_documents(cleaning.section_paths(self.blocks().withColumn("document_id", F.col("document_id").cast("string"))))
+
+    def lines_as_chunks(self) -> DataFrame:
+        return self.blocks().select("document_id", F.col("block_seq").alias("segment_index"), "text")
+
+
+_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir)) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# SQL that several queries share.
+_TOK = f"""tok AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '{TOKEN_SQL}'), lambda x: lower(x))) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT doc_id, len(regexp_extract_all(text, '{TOKEN_SQL}')) AS dl FROM documents),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(text, '{TOKEN_SQL}'), lambda x: lower(x))) AS term FROM benchmark),
+sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score, count(*) AS shared
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY item_id, doc_id),
+bm AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 30),
+ov AS (SELECT item_id, doc_id, shared, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM sc QUALIFY rank <= 30)"""
+_FUSED = """un AS (SELECT item_id, doc_id, rank, 'b' AS route FROM bm UNION ALL SELECT item_id, doc_id, rank, 'o' FROM ov),
+fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fusion_score, min(rank) AS best_rank, min(rank) FILTER (route = 'b') AS bm25_rank, min(rank) FILTER (route = 'o') AS overlap_rank FROM un GROUP BY ALL),
+fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fusion_score DESC, best_rank, doc_id) AS fusion_rank FROM fu QUALIFY fusion_rank <= 20)"""
+_RERANK = """qn AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+lo AS (SELECT item_id, doc_id, fusion_rank, round(4.0::DOUBLE * shared / n - 2, 9) AS logit FROM fused JOIN sc USING (item_id, doc_id) JOIN qn USING (item_id)),
+rr AS (SELECT item_id, doc_id, logit, round(1 / (1 + exp(-logit)), 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY logit DESC, fusion_rank, doc_id) AS rerank_rank FROM lo QUALIFY rerank_rank <= 5),
+gate AS (SELECT b.item_id, CASE WHEN score IS NULL THEN 'no_candidates' WHEN score < 0.8 THEN 'below_threshold' ELSE 'answerable' END AS status FROM benchmark b LEFT JOIN (SELECT * FROM rr WHERE rerank_rank = 1) r USING (item_id))"""
+_METRICS = """gold AS (SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+gs AS (SELECT item_id, count(DISTINCT doc_id) AS n FROM gold GROUP BY item_id),
+fo AS (SELECT item_id, count(DISTINCT doc_id) AS found, min(rank) AS first FROM bm JOIN gold USING (item_id, doc_id) WHERE rank <= 5 GROUP BY item_id),
+me AS (SELECT b.item_id, coalesce(n, 0) AS n_targets, CASE WHEN n IS NOT NULL THEN CASE WHEN found > 0 THEN 1 ELSE 0 END END AS hit_at_k,
+  CASE WHEN n IS NOT NULL THEN round(coalesce(found, 0) / n, 9) END AS recall_at_k, CASE WHEN n IS NOT NULL THEN round(coalesce(1.0::DOUBLE / first, 0), 9) END AS reciprocal_rank FROM benchmark b LEFT JOIN gs USING (item_id) LEFT JOIN fo USING (item_id))"""
+_EVAL = """ev AS (SELECT me.*, gate.status, gate.status = 'answerable' AS answerable, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS question_type, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS difficulty FROM me JOIN gate USING (item_id) JOIN benchmark USING (item_id))"""
+_SUMS = "count(*) AS attempted, count(*) FILTER (answerable) AS answered, round(avg(answerable::INT), 9) AS success_rate, round(avg(hit_at_k), 9) AS hit_at_k, round(avg(recall_at_k), 9) AS recall_at_k, round(avg(reciprocal_rank), 9) AS mrr"
+_LINES = """li AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS block_seq FROM documents),
+bl AS (SELECT *, block_seq // 5 + 1 AS page, CASE WHEN block_seq % 3 = 0 THEN 1 + length(text) % 6 END AS level FROM li)"""
+
+
+@query(f"WITH {_TOK} SELECT doc_id, term, tf FROM tf")
+def tokenize_terms(t: Tables) -> DataFrame:
+    return retrieval.term_frequencies(t.docs(), "doc_id")
+
+
+@query(f"WITH {_TOK} SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_tokens, round(avg(dl), 9) AS avgdl FROM dl")
+def corpus_stats(t: Tables) -> DataFrame:
+    return retrieval.corpus_stats(t.docs(), "doc_id").withColumn("avgdl", F.round("avgdl", 9))
+
+
+@query(f"WITH {_TOK} SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 9) AS idf FROM df, st")
+def term_df(t: Tables) -> DataFrame:
+    return retrieval.term_df(t.docs(), "doc_id").withColumn("idf", F.round("idf", 9))
+
+
+@query(f"WITH {_TOK} SELECT item_id, doc_id, score, rank FROM bm")
+def bm25_topk(t: Tables) -> DataFrame:
+    return t.bm25()
+
+
+@query("SELECT q.vec_id AS query, e.vec_id AS vec, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 30")
+def dense_topk(t: Tables) -> DataFrame:
+    return retrieval.dense_topk(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "vec_id")
+
+
+@query(f"WITH {_TOK}, {_FUSED} SELECT item_id, doc_id, fusion_score, best_rank, bm25_rank, overlap_rank, fusion_rank FROM fused")
+def rrf_fusion(t: Tables) -> DataFrame:
+    return t.fused()
+
+
+@query(f"WITH {_TOK}, {_FUSED}, {_RERANK} SELECT item_id, doc_id, logit, score, rerank_rank FROM rr")
+def rerank_topk(t: Tables) -> DataFrame:
+    return t.reranked()
+
+
+@query(f"WITH {_TOK}, {_FUSED}, {_RERANK} SELECT item_id, status, status = 'answerable' AS answerable FROM gate")
+def evidence_gate(t: Tables) -> DataFrame:
+    return t.gate()
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def gold_pairs(t: Tables) -> DataFrame:
+    return t.gold()
+
+
+@query(f"WITH {_TOK}, {_METRICS} SELECT * FROM me")
+def retrieval_metrics(t: Tables) -> DataFrame:
+    return t.metrics()
+
+
+@query(f"WITH {_TOK}, {_FUSED}, {_RERANK}, {_METRICS}, {_EVAL} SELECT {_SUMS} FROM ev")
+def eval_summary(t: Tables) -> DataFrame:
+    return evaluation.summarize(t.evaluated())
+
+
+@query(f"WITH {_TOK}, {_FUSED}, {_RERANK}, {_METRICS}, {_EVAL} SELECT question_type, difficulty, {_SUMS} FROM ev GROUP BY GROUPING SETS ((), (question_type), (difficulty))")
+def eval_grouping_sets(t: Tables) -> DataFrame:
+    return evaluation.summarize_sets(t.evaluated())
+
+
+@query(f"WITH {_TOK}, {_FUSED}, {_RERANK} SELECT status, count(*) AS n FROM gate GROUP BY status")
+def status_histogram(t: Tables) -> DataFrame:
+    return t.gate().groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(t: Tables) -> DataFrame:
+    return evaluation.nearest_rank(t.events, "event_type", "value")
+
+
+@query("SELECT lang, count(*) AS judged, round(avg(quality), 9) AS quality, round(avg(toxic), 9) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
+def judge_summary(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "lang").join(t.labels, "doc_id")
+    return rows.rollup("lang").agg(F.count("*").alias("judged"), F.round(F.avg("quality"), 9).alias("quality"), F.round(F.avg("toxic"), 9).alias("toxic"))
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_targets(t: Tables) -> DataFrame:
+    return reconcile.missing_targets(t.documents, t.labels, "doc_id")
+
+
+@query("SELECT lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM documents GROUP BY lang")
+def source_map_targets(t: Tables) -> DataFrame:
+    return t.documents.groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)) AS text FROM documents")
+def normalize_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.normalized(F.col("text")).alias("text"))
+
+
+@query()
+def repeat_key(t: Tables) -> DataFrame:
+    return t.blocks().select("document_id", "block_seq", T.repeat_key(F.col("text")).alias("key"))
+
+
+@query()
+def repeated_margins(t: Tables) -> DataFrame:
+    return cleaning.repeated_margins(t.blocks().select(F.col("document_id"), "page", "block_seq", "text"))
+
+
+@query(f"""WITH {_LINES} SELECT document_id, block_seq, CASE WHEN length(trim(text)) = 0 OR length(text) > 100 OR regexp_matches(text, '(?i)^(?:图|表|Figure|Table)\\s*[A-Za-z0-9一二三四五六七八九十.-]+') OR regexp_matches(text, '[。！？.!?；;：:]$') THEN NULL
+WHEN regexp_matches(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}(?:[.、])?\\s+\\S.+$') THEN least(6, 1 + length(regexp_extract(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}')) - length(replace(regexp_extract(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}'), '.', ''))) END AS level FROM bl""")
+def title_levels(t: Tables) -> DataFrame:
+    return cleaning.titles(t.blocks().drop("level")).select("document_id", "block_seq", "level")
+
+
+@query(f"""WITH {_LINES}, a AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER w - 1 AS k FROM bl WINDOW w AS (PARTITION BY document_id ORDER BY block_seq)),
+b AS (SELECT *, k + least(1, min(level - k) OVER (PARTITION BY document_id ORDER BY block_seq)) AS depth FROM a),
+c AS (SELECT document_id, block_seq, depth::INT AS depth, {', '.join(f"last_value(CASE WHEN level IS NOT NULL AND depth = {d} THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_seq ROWS UNBOUNDED PRECEDING) AS p{d}" for d in range(1, 7))} FROM b)
+SELECT document_id, block_seq, depth, array_to_string(list_slice([p1, p2, p3, p4, p5, p6], 1, depth), ' > ') AS path FROM c""")
+def section_paths(t: Tables) -> DataFrame:
+    return cleaning.section_paths(t.blocks()).select("document_id", "block_seq", "depth", F.array_join("section_path", " > ").alias("path"))
+
+
+@query()
+def cross_page_merge(t: Tables) -> DataFrame:
+    return cleaning.cross_page_merges(t.blocks())
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM a) SELECT user_id, run, min(event_type) AS event_type, count(*) AS n FROM b GROUP BY user_id, run""")
+def section_runs(t: Tables) -> DataFrame:
+    return chunking.runs(t.events, "user_id", ["ts", "event_id"], "event_type")
+
+
+@query()
+def chunk_pack(t: Tables) -> DataFrame:
+    return t.chunks()
+
+
+@query()
+def chunk_report(t: Tables) -> DataFrame:
+    return chunking.chunk_report(t.chunks())
+
+
+@query("SELECT count(*) AS documents, count(*) AS complete FROM documents WHERE length(trim(replace(text, chr(10), ''))) > 0")
+def chunk_integrity(t: Tables) -> DataFrame:
+    return chunking.integrity(t.blocks().withColumn("document_id", F.col("document_id").cast("string")), t.chunks()).agg(F.count("*").alias("documents"), F.count_if("complete").alias("complete"))
+
+
+@query(f"WITH {_TOK}, p AS (SELECT item_id, rank, doc_id, sum(length('[' || rank || '] ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) OVER (PARTITION BY item_id ORDER BY rank)::BIGINT AS used_chars FROM bm JOIN documents USING (doc_id)) SELECT *, used_chars <= 4000 AS sent FROM p")
+def prompt_prefix(t: Tables) -> DataFrame:
+    hits = t.bm25().join(t.docs(), "doc_id")
+    return answers.prompt_prefix(hits, "item_id", budget=DEFAULT.prompt_chars).select("item_id", "rank", "doc_id", "used_chars", "sent")
+
+
+@query("""SELECT conv_id, turn, regexp_replace(text || CASE WHEN turn BETWEEN 1 AND 3 THEN '[' || turn || ']' ELSE '' END || CASE WHEN turn + 3 <= 3 THEN '[' || (turn + 3) || ']' ELSE '' END, '^\\s+|\\s+$', '', 'g') AS answer,
+CASE WHEN turn BETWEEN 1 AND 3 THEN turn::VARCHAR WHEN turn = 0 THEN '3' ELSE '' END AS cited, (CASE WHEN turn BETWEEN 1 AND 3 THEN 0 ELSE 1 END + CASE WHEN turn + 3 <= 3 THEN 0 ELSE 1 END)::INT AS invalid FROM conversations WHERE text NOT LIKE '%[%'""".replace("\\\\s", "\\s"))
+def citation_finalize(t: Tables) -> DataFrame:
+    answer = F.concat("text", F.lit("["), F.col("turn").cast("string"), F.lit("]["), (F.col("turn") + 3).cast("string"), F.lit("]"))
+    done = answers.finalized(answer, F.array(F.lit(1), F.lit(2), F.lit(3)))
+    return t.conversations.where("text not like '%[%'").select("conv_id", "turn", done.alias("a")).select("conv_id", "turn", "a.answer", F.array_join("a.cited", ",").alias("cited"), "a.invalid")
+
+
+@query(f"WITH {_LINES} SELECT x.document_id, x.block_seq AS segment_index, y.block_seq AS neighbour_index, y.text AS neighbour_text FROM bl x JOIN bl y ON x.document_id = y.document_id AND abs(x.block_seq - y.block_seq) = 1")
+def neighbor_chunks(t: Tables) -> DataFrame:
+    return chunking.neighbours(t.lines_as_chunks())
+
+
+@query("""WITH f AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 1 THEN text || '!' ELSE text END) AS sha, doc_id % 7 <> 0 AS parsed FROM documents WHERE doc_id % 5 <> 3),
+r AS (SELECT doc_id, sha256(text) AS sha, doc_id % 11 <> 0 AS ok FROM documents WHERE doc_id % 5 <> 2)
+SELECT coalesce(f.doc_id, r.doc_id) AS document_id, CASE WHEN f.sha IS NULL THEN CASE WHEN ok THEN 'missing_source' ELSE 'unavailable' END WHEN coalesce(ok, false) AND f.sha = r.sha THEN 'reuse' WHEN parsed THEN 'active' WHEN coalesce(ok, false) THEN 'stale' ELSE 'failed_new' END AS outcome FROM f FULL JOIN r ON f.doc_id = r.doc_id""")
+def incremental_plan(t: Tables) -> DataFrame:
+    """Files now against records of before; which documents changed, came and went follows their ids."""
+    n = F.col("doc_id")
+    files = t.documents.where(n % 5 != 3).select(n.alias("document_id"), F.sha2(F.when(n % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"), (n % 7 != 0).alias("parsed"))
+    records = t.documents.where(n % 5 != 2).select(n.alias("document_id"), F.sha2("text", 256).alias("sha256"), (n % 11 != 0).alias("artifact_ok"))
+    return reconcile.plan(files, records)
+
+
+@query("SELECT doc_id, sha256(lower(source) || chr(1) || doc_id || chr(1) || text) AS chunk_id FROM documents")
+def stable_ids(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.stable_id(F.lower("source"), F.col("doc_id").cast("string"), F.col("text")).alias("chunk_id"))
+
+
+@query(r"""SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<tr\b[^>]*>', chr(10), 'g'), '(?i)<t[dh]\b[^>]*>', ' | ', 'g'), '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
+def html_to_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT conv_id, CASE WHEN length(first) > 29 THEN left(first, 29) || '…' ELSE first END AS title, turns, last_turn FROM (SELECT conv_id, arg_min(text, turn) AS first, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id)")
+def history_list(t: Tables) -> DataFrame:
+    return history.listed(t.conversations)
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")
+def history_detail(t: Tables) -> DataFrame:
+    return history.detail(t.conversations)
+
+
+@query("SELECT * FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
+def history_delete(t: Tables) -> DataFrame:
+    return history.deleted(t.conversations, t.conversations.where("role = 'system'")).select("conv_id", "turn", "role", "text")
+
+
+@query(r"""SELECT event_id, CASE WHEN regexp_matches(v, '^\s*[=+\-@]') THEN '''' || v ELSE v END AS cell FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '=' WHEN event_id % 4 = 1 THEN ' -' ELSE '' END || props AS v FROM events)""")
+def csv_guard(t: Tables) -> DataFrame:
+    lead = F.when(F.col("event_id") % 4 == 0, "=").when(F.col("event_id") % 4 == 1, " -").otherwise("")
+    return t.events.select("event_id", T.csv_guard(F.concat(lead, "props")).alias("cell"))
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(t: Tables) -> DataFrame:
+    return reconcile.duplicates(t.documents.select(F.sha2("text", 256).alias("sha")), "sha")
+
+
+@query("SELECT 'output' AS missing_in, count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels) HAVING count(*) > 0 UNION ALL SELECT 'input', count(*) FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents) HAVING count(*) > 0")
+def trace_violations(t: Tables) -> DataFrame:
+    return reconcile.untraced(t.documents, t.labels, "doc_id").groupBy("missing_in").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def windowed_events(t: Tables) -> DataFrame:
+    """Beyond the reference: the batch form of the windowed stream aggregation."""
+    return ingest.windowed_counts(t.events)
