@@ -8,7 +8,7 @@ others are pruned before sets are compared.  Reaching it also takes more than ``
 each template a few words are chosen that all but fewer bigrams than that contain; lines without any of these words cannot
 reach the threshold and are left out first.
 
-Results: one row for each document and template found, with the best passage; a document without a notice gives one row
+Results: one row for each document and licence found, with the best passage (a passage counts for its closest template); a document without a notice gives one row
 with nulls; null and empty texts count as without; repeated rows give repeated results; an empty table gives an empty
 table; columns other than id and text are not read.
 """
@@ -72,7 +72,7 @@ def marks(threshold: float) -> list[str]:
 
 
 def _dice(passage: Column, threshold: float) -> Column:
-    """Array of (dice, licence) of the templates that reach the threshold."""
+    """Array of (dice, licence) of the templates closest to a passage, if they reach the threshold; ties all count."""
     n = F.size(passage)
     hits = []
     for name, notices in TEMPLATES.items():
@@ -81,7 +81,8 @@ def _dice(passage: Column, threshold: float) -> Column:
             bounded = (n * threshold <= len(t) * (2 - threshold)) & (n * (2 - threshold) >= len(t) * threshold)
             shared = F.size(F.array_intersect(passage, F.array(*map(F.lit, t))))
             hits.append(F.when(bounded, F.struct((2.0 * shared / (n + len(t))).alias("dice"), F.lit(name).alias("licence"))))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["dice"] >= threshold))
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["dice"] >= threshold))
+    return let(found, lambda x: let(F.array_max(F.transform(x, lambda h: h["dice"])), lambda best: F.filter(x, lambda h: h["dice"] == best)))
 
 
 def licence_matches(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

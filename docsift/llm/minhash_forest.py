@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (whether it is that document)."""
     docs = texts(docs, id_col=id_col, text_col=text_col)
     signed = materialize(signatures(docs), "signatures")
-    per_set = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("least")).select("set_key", "least.*")
+    per_set = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "signature"))).alias("least")).select("set_key", "least.*")
     classes = materialize(per_set.where("doc_id is not null").select(F.col("doc_id").alias("node"), "set_key", "signature"), "classes")
     pairs = candidates(classes)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

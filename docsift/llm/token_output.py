@@ -13,6 +13,7 @@ columns other than id and text are not read.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -95,8 +96,6 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
 
 def token_file_digests(docs: DataFrame, tokenizer_path: str, label: str = "token-files") -> DataFrame:
     """Write the files to the shared folder, read them back and return what they hold of each document."""
-    import uuid
-
     path = f"{shared_dir(docs.sparkSession)}/docsift/{label}-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_path)
     return with_checksum(read_token_files(docs.sparkSession, path))
