@@ -13,9 +13,9 @@ from docsift.llm.queries import WORD_BPE
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted quality rules keep."""
-    rows = quality_rules.counted(docs)
-    kept = quality_rules.verdicts(rows, quality_rules.fitted(rows)).where("kept")
-    return kept.select(*docs.columns)
+    # The row travels as one struct, so its columns cannot clash with those of the rules.
+    rows = quality_rules.counted(docs.select(F.struct("*").alias("row"), "text"))
+    return quality_rules.verdicts(rows, quality_rules.fitted(rows)).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +37,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the new text."""
-    text = F.coalesce("text", F.lit(""))
-    trees = pii.model(spark)
-    rows = docs.withColumn("_base", F.explode(F.array(pii.base_spans(text))))
-    rows = rows.withColumn("_spans", F.explode(F.array(F.when(text.rlike(pii.MAY), pii.all_spans(text, F.col("_base"), trees)).otherwise(F.col("_base")))))
-    out = {"text": F.when(F.size("_spans") > 0, pii.redacted(text, F.col("_spans"))).otherwise(F.col("text"))}
-    rows = rows.withColumns(out)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    trees, text = pii.model(spark), F.col("plain")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("plain"))
+    rows = rows.select("row", "plain", F.explode(F.array(pii.base_spans(text))).alias("base"))
+    rows = rows.select("row", "plain", F.explode(F.array(F.when(text.rlike(pii.MAY), pii.all_spans(text, F.col("base"), trees)).otherwise(F.col("base")))).alias("spans"))
+    found = F.size("spans") > 0
+    rows = rows.select("row", found.alias("found"), F.when(found, pii.redacted(text, F.col("spans"))).alias("redacted"))
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return rows.select(*(F.when(F.col("found"), new[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in new else F.col(f"row.{c}") for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
