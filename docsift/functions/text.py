@@ -27,7 +27,8 @@ def tokens(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(CJK), pairs).otherwise(F.array(F.lower(run)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), pieces))
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.when(text.rlike(CJK[1:]), F.flatten(F.transform(found, pieces))).otherwise(F.transform(found, F.lower))
 
 
 def normalized(text: Column) -> Column:
