@@ -276,6 +276,18 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leaks(table, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_an_item_in_most_documents(spark):
+    """All words of such an item are frequent; they stay terms."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(5000)]
+    hot, rare = " ".join(words[:30]), " ".join(words[30:60])
+    filler = lambda: " ".join(rng.sample(words[100:], 60))
+    rows = [(k, f"{filler()} {hot} {filler()}" if k % 3 else f"{filler()} {filler()}") for k in range(60)] + [(60, f"{filler()} {rare}")]
+    bench = spark.createDataFrame([(0, hot), (1, rare), (2, "zzyzx")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame([*rows, (61, "so zzyzx it is")], "doc_id long, text string"), bench).collect()}
+    assert got == {(k, 0) for k in range(60) if k % 3} | {(60, 1), (61, 2)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
