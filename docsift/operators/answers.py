@@ -42,3 +42,8 @@ def finalized(answer: Column, ranks: Column) -> Column:
 def parts(answer: Column) -> Column:
     """The answer as text and citation pieces in order."""
     return F.regexp_extract_all(answer, F.lit(r"\[[0-9]+\]|(?:(?!\[[0-9]+\])[\s\S])+"), F.lit(0))
+
+
+def sent_counts(prefix: DataFrame, query: str) -> DataFrame:
+    """query, sent and dropped hits, characters sent."""
+    return prefix.groupBy(query).agg(F.count_if("sent").alias("sent"), F.count_if(~F.col("sent")).alias("dropped"), F.coalesce(F.max(F.when(F.col("sent"), F.col("used_chars"))), F.lit(0)).alias("sent_chars"))

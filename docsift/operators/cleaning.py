@@ -98,3 +98,16 @@ def cross_page_merges(blocks: DataFrame) -> DataFrame:
     chains = marked.withColumn("chain", F.sum("start").over(by_page))
     place = F.row_number().over(Window.partitionBy("document_id", "chain").orderBy("page"))
     return chains.withColumn("place", place).where("joined is not null and place % 2 = 1").select("document_id", "page", F.col("last_seq").alias("left_seq"), "right_seq", F.col("joined").alias("text"))
+
+
+def bbox_position(y0: Column, y1: Column, height: Column) -> Column:
+    """header, footer or body of a block by its box; null if the box is of unknown scale."""
+    scaled = height.isNotNull() & (height != 0)
+    top, end = (F.when(scaled, y / F.nullif(height, F.lit(0.0))).when(height.isNull() & y0.between(0, 1) & y1.between(0, 1), y) for y in (y0, y1))
+    return F.when(top.isNull() | end.isNull(), F.lit(None)).when(end <= 0.20, "header").when(top >= 0.80, "footer").otherwise("body")
+
+
+def page_stats(blocks: DataFrame) -> DataFrame:
+    """document_id, pages, text_pages, empty_pages, characters of all blocks."""
+    pages = blocks.groupBy("document_id", "page").agg(F.max((strip(F.col("text")) != "").cast("int")).alias("filled"), F.sum(F.length("text")).alias("characters"))
+    return pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.sum("filled").alias("text_pages"), F.sum(1 - F.col("filled")).alias("empty_pages"), F.sum("characters").alias("characters"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,9 @@ def judge_fields(raw: str = "raw") -> DataFrame | object:
     for name in ("correctness", "completeness", "relevance"):
         good = good & parsed[name].between(0, 3) & F.get_json_object(text, f"$.{name}").rlike("^[0-3]$")
     return F.when(good & (F.trim(parsed["reason"]) != ""), parsed)
+
+
+def question_order(key: Column) -> list[Column]:
+    """Sort columns: keys of digits by their number, then the others by their text in lower case."""
+    digits = key.rlike("^[0-9]+$")
+    return [F.when(digits, 0).otherwise(1), F.when(digits, key.cast("decimal(38,0)")), F.lower(key), key]

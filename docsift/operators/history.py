@@ -26,3 +26,19 @@ def detail(turns: DataFrame) -> DataFrame:
 def deleted(turns: DataFrame, gone: DataFrame) -> DataFrame:
     """The turns without the conversations in ``gone``."""
     return turns.join(gone.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
+def exchanged(turns: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """The turns with the question and answer of each exchange behind the last turn of its conversation.
+
+    ``exchanges`` has conv_id, question, answer, one row a conversation; those of unknown conversations are left out.
+    """
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    pair = F.inline(F.array(*(F.struct((F.col("last") + k).alias("turn"), F.lit(role).alias("role"), F.col(text).alias("text")) for k, role, text in ((1, "user", "question"), (2, "assistant", "answer")))))
+    return turns.select("conv_id", "turn", "role", "text").union(exchanges.join(last, "conv_id").select("conv_id", pair))
+
+
+def existing(asked: DataFrame, turns: DataFrame) -> DataFrame:
+    """conv_id of ``asked`` and whether there is such a conversation."""
+    known = turns.select("conv_id").distinct().withColumn("known", F.lit(True))
+    return asked.join(known, "conv_id", "left").select("conv_id", F.coalesce("known", F.lit(False)).alias("found"))

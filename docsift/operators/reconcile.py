@@ -37,3 +37,12 @@ def untraced(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
 
 def missing_targets(targets: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return targets.select(key).distinct().join(index.select(key), key, "left_anti")
+
+
+def outcome_counts(planned: DataFrame) -> DataFrame:
+    return planned.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def with_status(files: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """Status of each file by its report; a file without one has failed."""
+    return files.select(key).join(reports.select(key, "status"), key, "left").select(key, F.coalesce("status", F.lit("failed")).alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.config import DEFAULT
@@ -115,6 +115,12 @@ _SUMS = "count(*) AS attempted, count(*) FILTER (answerable) AS answered, round(
 _LINES = """li AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS block_seq FROM documents),
 bl AS (SELECT *, block_seq // 5 + 1 AS page, CASE WHEN block_seq % 3 = 0 THEN 1 + length(text) % 6 END AS level FROM li)"""
 
+_PROMPT = """p AS (SELECT item_id, rank, doc_id, '[' || rank || '] ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS block FROM bm JOIN documents USING (doc_id)),
+pr AS (SELECT *, sum(length(block)) OVER (PARTITION BY item_id ORDER BY rank)::BIGINT AS used_chars FROM p)"""
+_PLAN = """WITH f AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 1 THEN text || '!' ELSE text END) AS sha, doc_id % 7 <> 0 AS parsed FROM documents WHERE doc_id % 5 <> 3),
+r AS (SELECT doc_id, sha256(text) AS sha, doc_id % 11 <> 0 AS ok FROM documents WHERE doc_id % 5 <> 2)
+SELECT coalesce(f.doc_id, r.doc_id) AS document_id, CASE WHEN f.sha IS NULL THEN CASE WHEN ok THEN 'missing_source' ELSE 'unavailable' END WHEN coalesce(ok, false) AND f.sha = r.sha THEN 'reuse' WHEN parsed THEN 'active' WHEN coalesce(ok, false) THEN 'stale' ELSE 'failed_new' END AS outcome FROM f FULL JOIN r ON f.doc_id = r.doc_id"""
+
 
 @query(f"WITH {_TOK} SELECT doc_id, term, tf FROM tf")
 def tokenize_terms(t: Tables) -> DataFrame:
@@ -276,9 +282,7 @@ def neighbor_chunks(t: Tables) -> DataFrame:
     return chunking.neighbours(t.lines_as_chunks())
 
 
-@query("""WITH f AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 1 THEN text || '!' ELSE text END) AS sha, doc_id % 7 <> 0 AS parsed FROM documents WHERE doc_id % 5 <> 3),
-r AS (SELECT doc_id, sha256(text) AS sha, doc_id % 11 <> 0 AS ok FROM documents WHERE doc_id % 5 <> 2)
-SELECT coalesce(f.doc_id, r.doc_id) AS document_id, CASE WHEN f.sha IS NULL THEN CASE WHEN ok THEN 'missing_source' ELSE 'unavailable' END WHEN coalesce(ok, false) AND f.sha = r.sha THEN 'reuse' WHEN parsed THEN 'active' WHEN coalesce(ok, false) THEN 'stale' ELSE 'failed_new' END AS outcome FROM f FULL JOIN r ON f.doc_id = r.doc_id""")
+@query(_PLAN)
 def incremental_plan(t: Tables) -> DataFrame:
     """Files now against records of before; which documents changed, came and went follows their ids."""
     n = F.col("doc_id")
@@ -329,6 +333,85 @@ def trace_violations(t: Tables) -> DataFrame:
     return reconcile.untraced(t.documents, t.labels, "doc_id").groupBy("missing_in").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_TOK}, {_FUSED} SELECT item_id, doc_id, fusion_rank FROM fused WHERE fusion_rank <= 5")
+def rrf_only_topk(t: Tables) -> DataFrame:
+    """What is shown without re-scoring."""
+    return t.fused().where(F.col("fusion_rank") <= DEFAULT.rerank_top_k).select("item_id", "doc_id", "fusion_rank")
+
+
+@query("""WITH b AS (SELECT doc_id, doc_id % 10 / 10 AS y0, (doc_id % 10 + doc_id % 3) / 10 AS y1, CASE WHEN doc_id % 4 = 0 THEN 1.25::DOUBLE WHEN doc_id % 4 = 1 THEN 0::DOUBLE END AS height FROM documents),
+c AS (SELECT doc_id, CASE WHEN height IS NOT NULL THEN y0 / nullif(height, 0) WHEN y0 <= 1 AND y1 <= 1 THEN y0 END AS y0, CASE WHEN height IS NOT NULL THEN y1 / nullif(height, 0) WHEN y0 <= 1 AND y1 <= 1 THEN y1 END AS y1 FROM b)
+SELECT doc_id, CASE WHEN y0 IS NULL OR y1 IS NULL THEN NULL WHEN y1 <= 0.2 THEN 'header' WHEN y0 >= 0.8 THEN 'footer' ELSE 'body' END AS position FROM c""")
+def bbox_positions(t: Tables) -> DataFrame:
+    """Positions of boxes that follow the ids of documents."""
+    n = F.col("doc_id")
+    height = F.when(n % 4 == 0, 1.25).when(n % 4 == 1, 0.0)
+    return t.documents.select("doc_id", cleaning.bbox_position(n % 10 / 10, (n % 10 + n % 3) / 10, height).alias("position"))
+
+
+@query(f"""WITH {_LINES}, pg AS (SELECT document_id, page, max(CASE WHEN regexp_matches(text, '\\S') THEN 1 ELSE 0 END) AS filled, sum(length(text)) AS characters FROM bl GROUP BY document_id, page)
+SELECT document_id, count(*) AS pages, sum(filled)::BIGINT AS text_pages, sum(1 - filled)::BIGINT AS empty_pages, sum(characters)::BIGINT AS characters FROM pg GROUP BY document_id""")
+def page_stats(t: Tables) -> DataFrame:
+    return cleaning.page_stats(t.blocks())
+
+
+@query(f"WITH {_TOK}, {_PROMPT} SELECT item_id, count(*) FILTER (used_chars <= 4000) AS sent, count(*) FILTER (used_chars > 4000) AS dropped, coalesce(max(used_chars) FILTER (used_chars <= 4000), 0) AS sent_chars FROM pr GROUP BY item_id")
+def sent_dropped(t: Tables) -> DataFrame:
+    hits = t.bm25().join(t.docs(), "doc_id")
+    return answers.sent_counts(answers.prompt_prefix(hits, "item_id", budget=DEFAULT.prompt_chars), "item_id")
+
+
+@query(f"WITH {_TOK}, {_PROMPT} SELECT item_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM pr WHERE used_chars <= 4000 GROUP BY item_id")
+def prompt_context(t: Tables) -> DataFrame:
+    hits = t.bm25().join(t.docs(), "doc_id")
+    return answers.prompts(answers.prompt_prefix(hits, "item_id", budget=DEFAULT.prompt_chars), "item_id")
+
+
+@query(f"WITH {_TOK}, {_METRICS} SELECT DISTINCT item_id, doc_id FROM bm JOIN gold USING (item_id, doc_id) WHERE rank <= 5")
+def retrieved_targets(t: Tables) -> DataFrame:
+    return t.bm25(5).select("item_id", "doc_id").intersect(t.gold().select("item_id", "doc_id"))
+
+
+@query("""SELECT key, row_number() OVER (ORDER BY CASE WHEN regexp_matches(key, '^[0-9]+$') THEN 0 ELSE 1 END, CASE WHEN regexp_matches(key, '^[0-9]+$') THEN key::BIGINT END, lower(key), key) AS place
+FROM (SELECT CASE WHEN item_id % 3 = 0 THEN 'Q' || item_id ELSE item_id::VARCHAR END AS key FROM benchmark)""")
+def question_order(t: Tables) -> DataFrame:
+    """Places of the evaluation set's questions, which is a small table."""
+    key = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Q"), F.col("item_id").cast("string"))).otherwise(F.col("item_id").cast("string"))
+    rows = t.benchmark.select(key.alias("key"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*evaluation.question_order(F.col("key")))))
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 0 AND doc_id % 5 <> 0 THEN quality * 3 END AS correctness, CASE WHEN toxic = 0 AND doc_id % 5 <> 0 THEN 'because' END AS reason FROM labels""")
+def judge_parse(t: Tables) -> DataFrame:
+    """Judges' answers made from labels: some fenced, some with a score out of range or without a reason."""
+    raw = F.concat(F.lit('```json\n{"correctness": '), (F.col("quality") * 3 + F.col("toxic") * 7).cast("string"), F.lit(', "completeness": 1, "relevance": 2, "reason": "'), F.when(F.col("doc_id") % 5 == 0, " ").otherwise("because"), F.lit('"}\n```'))
+    return t.labels.select("doc_id", raw.alias("raw")).select("doc_id", evaluation.judge_fields().alias("j")).select("doc_id", "j.correctness", "j.reason")
+
+
+@query(f"SELECT outcome, count(*) AS n FROM ({_PLAN}) GROUP BY outcome")
+def build_report(t: Tables) -> DataFrame:
+    return reconcile.outcome_counts(incremental_plan(t))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'parsed' WHEN quality = 0 THEN 'partial' ELSE 'failed' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
+def parse_status(t: Tables) -> DataFrame:
+    reports = t.labels.select("doc_id", F.when(F.col("quality") == 1, "parsed").otherwise("partial").alias("status"))
+    return reconcile.with_status(t.documents, reports, "doc_id")
+
+
+@query("""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id) SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT conv_id, last + 1, 'user', 'Why?' FROM l UNION ALL SELECT conv_id, last + 2, 'assistant', 'Since ' || conv_id FROM l""")
+def history_save(t: Tables) -> DataFrame:
+    new = t.conversations.where("conv_id % 3 = 0").select("conv_id").distinct()
+    new = new.union(new.select(-1 - F.col("conv_id")))
+    return history.exchanged(t.conversations, new.select("conv_id", F.lit("Why?").alias("question"), F.concat(F.lit("Since "), F.col("conv_id").cast("string")).alias("answer")))
+
+
+@query("SELECT doc_id AS conv_id, doc_id IN (SELECT conv_id FROM conversations) AS found FROM documents")
+def history_exists(t: Tables) -> DataFrame:
+    return history.existing(t.documents.select(F.col("doc_id").alias("conv_id")), t.conversations)
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def windowed_events(t: Tables) -> DataFrame:
     """Beyond the reference: the batch form of the windowed stream aggregation."""
