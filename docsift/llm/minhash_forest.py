@@ -10,6 +10,10 @@ sketch of the signatures discards hopeless candidates and the full sets confirm
 Links serve connectivity only, so confirmation runs twice: once for one candidate of each class, then for the candidates
 whose ends are still apart.  Groups are found by alternating large and small star steps over tables.
 
+A dense region does not pair all of its members, so those of dense regions that still hold several groups go through an
+exact join as well: each set is ordered from its rarest shingle on, and two sets that are similar enough share one among
+the first few.  Pairs with the same such shingle but of different groups are confirmed on full sets, with no limit on them.
+
 Results: null, empty and blank texts have no shingles, are linked with nothing and keep themselves; a text of fewer than
 five words is one shingle; equal texts are linked; each row of the input gives one row, also if rows repeat; rows that
 share a doc_id but not the text are told apart by their sets; a null doc_id takes part but cannot be the smallest id of a
@@ -35,8 +39,10 @@ SIZE = TREES * STEP
 #: Values in a sorted prefix, at two bytes each, and the least shared depth.  With a similarity of 0.85 a pair shares four
 #: values in one of the 20 orders but for 4 pairs in ten million.
 DEPTH, MIN_DEPTH = 12, 4
-#: Neighbours in each order; a region of more members is dense.
+#: Neighbours in each order; a region of more than one member beside them is dense.
 NEAR = 3
+#: Counters for how frequent shingles are; shared counters cost time only, as any order of shingles gives the same links.
+COUNTERS = 1 << 18
 #: A pair is confirmed if its sketches agree in this share of places: five standard deviations below 0.85.
 SKETCH_SHARE = 0.68
 
@@ -189,15 +195,76 @@ def _confirmed(percent: int):
     return run
 
 
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union.  Hot nodes are left to the skew join."""
+def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, *, sketched: bool = True) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union; ``sketched`` drops hopeless ones first.  Hot nodes are left to the skew join."""
     sketch = lambda x: classes.select(F.col("node").alias(x), F.col("signature").alias(f"sketch_{x}"))
-    likely = pairs.select("a", "b").join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long")
+    likely = pairs.select("a", "b")
+    if sketched:
+        likely = likely.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long")
     text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("packed_text").alias(f"text_{x}"))
     both = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
 
+def unsettled(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """node and component of the members of dense regions that hold more than one group."""
+    of = classes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    rows = forest_rows(classes).select("tree", F.substring("prefix", 1, 2 * MIN_DEPTH).alias("region"), "node").join(of, "node")
+    rows = materialize(rows, "forest-regions")
+    mixed = rows.groupBy("tree", "region").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("members") > NEAR + 1) & (F.col("low") < F.col("high")))
+    out = materialize(rows.join(mixed.select("tree", "region"), ["tree", "region"]).select("node", "component").distinct(), "unsettled")
+    drop_scratch(rows)
+    return out
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for (packed,) in batch_rows(batch, "packed_text"):
+        yield shingle_set(unpack(packed).decode("utf-8", "surrogatepass"))
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """For each counter, how many sets have its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in _unpacked(batch):
+                n += np.bincount((s % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["counter", "n"])
+
+    found = sets.select("packed_text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """shingle, place, n, node, component: the shingles of each set of which a set similar enough must share one."""
+    counts = _shingle_counts(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, s in enumerate(_unpacked(batch)):
+                first = len(s) - -(-percent * len(s) // 100) + 1
+                rare = s[np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:first]]
+                own = lambda c: pa.repeat(batch.column(batch.schema.get_field_index(c))[k], len(rare))  # noqa: B023,E731
+                yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64)), pa.array(np.arange(len(rare))), pa.repeat(pa.scalar(len(s), pa.int64()), len(rare)), own("node"), own("component")], ["shingle", "place", "n", "node", "component"])
+
+    return sets.mapInArrow(run, "shingle long, place long, n long, node long, component long")
+
+
+def sharing(rare: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b of different groups that share a rare shingle early enough for so similar sets."""
+    several = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = materialize(rare.join(several.select("shingle"), "shingle"), "shared-shingles")
+    side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "node", "component")))
+    # At the first shingle that both have, what follows in the shorter rest bounds the intersection.
+    enough = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+    return side("a").join(side("b"), "shingle").where(f"node_a < node_b and component_a <> component_b and {enough}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node and component (smallest node reachable) for every node with an edge, by alternating star steps."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
@@ -247,7 +314,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     apart = pairs.where("not first").join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a <> of_b")
     more = materialize(links(apart, classes, text, percent), "links")
-    groups = components(sure.union(more))
+    groups = materialize(components(sure.union(more)), "groups")
+    open_sets = unsettled(classes, groups)
+    sets = materialize(open_sets.join(text.withColumnRenamed("doc_id", "node"), "node"), "unsettled-texts", compression="none")
+    rare = materialize(rare_shingles(sets, percent), "rare-shingles")
+    exact = materialize(links(sharing(rare, percent), classes, text, percent, sketched=False), "links")
+    drop_scratch(sets, rare, open_sets)
+    if not exact.isEmpty():
+        groups = components(sure.union(more).union(exact))
     drop_scratch(text, pairs)
     # A hot set is one row here and many on the other side, which the skew join splits.
     of_set = classes.select("set_key", "node").join(groups, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))

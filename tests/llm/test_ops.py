@@ -80,6 +80,39 @@ def test_near_duplicates(docs, empty):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_dense_regions_lose_no_link(spark, monkeypatch):
+    """Without neighbours as candidates, the exact join alone finds the groups of a region of similar texts."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for k in range(40):
+        words = base[:]
+        for at in rng.sample(range(160), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(words[: rng.choice([160, 160, 150])])))
+    rows = [(k, t) for k, t in rows] + [(100 + k, f"alone {k} " + " ".join(f"y{k}-{j}" for j in range(30))) for k in range(5)]
+    sets = {k: shingles(t) for k, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    group = {k: k for k in sets}
+    for _ in sets:
+        for a, b in linked:
+            group[a] = group[b] = min(group[a], group[b])
+    assert 5 < len(set(group.values())) < len(sets) - 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = minhash_forest.candidates
+
+    def hubs_only(classes):
+        return real(classes).where("a = 0").withColumn("first", F.lit(False))
+
+    monkeypatch.setattr(minhash_forest, "candidates", hubs_only)
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs).collect()}
+    assert got == group
+    # The join itself proposes every link between sets that no group joins yet.
+    packed = minhash_forest._packed(docs).withColumnRenamed("doc_id", "node").withColumn("component", F.col("node"))
+    proposed = {(r.a, r.b) for r in minhash_forest.sharing(minhash_forest.rare_shingles(packed, 85), 85).collect()}
+    assert proposed >= set(linked)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 99), (99, 98)], "a long, b long")
     got = {r.node: r.component for r in minhash_forest.components(edges).collect()}
