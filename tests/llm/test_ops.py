@@ -321,6 +321,24 @@ def test_decontamination_of_an_item_in_most_documents(spark):
     assert got == {(k, 0) for k in range(60) if k % 3} | {(60, 1), (61, 2)}
 
 
+def test_decontamination_of_short_items_in_a_large_corpus():
+    """Short items in passages of other words, with counts as of three million documents: verbatim ones of any length, and changed ones."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(n)).encode()
+    common, other = [word(3) for _ in range(300)], [word(5) for _ in range(3000)]
+    items = [(k, b" ".join(rng.sample(common, n)).decode()) for k, n in enumerate([1, 2, 3, 5, 8, 8, 12, 16] * 6)]
+    sample = [rng.choices(other, k=200) for _ in range(100)]
+    block = decontamination.Block(items)
+    block.weigh(dict.fromkeys(range(len(block.vocab)), 150_000), 3_000_000, sample)
+    block.place(np.eye(len(block.vocab), dtype=np.float32))
+    for k, (_, words) in enumerate(block.items):
+        around = [rng.choices(other, k=60) for _ in range(2)]
+        assert k in block.search(around[0] + words + around[1])
+        if len(words) >= 8:
+            changed = [w for n, w in enumerate(words) if n % 6 != 3]
+            assert k in block.search(around[0] + changed + around[1])
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
