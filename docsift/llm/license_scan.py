@@ -1,20 +1,24 @@
 """Licence scan by Dice coefficient over word bigrams (operator 5), in DataFrame functions only.
 
-Texts are normalised (lower case, everything but letters and digits to one space).  A licence notice is a passage of a
-document, so each line is compared, and each pair of consecutive lines, as notices are often broken once.  Passages and
-templates become sets of word bigrams; the Dice coefficient is ``2 * shared / (size of one + size of other)``, which can
-reach the threshold only for templates whose size lies within ``t / (2 - t)`` and ``(2 - t) / t`` of the passage's, so
-others are pruned before sets are compared.  Reaching it also takes more than ``t / (2 - t)`` of a template's bigrams, so for
-each template a few words are chosen that all but fewer bigrams than that contain; lines without any of these words cannot
-reach the threshold and are left out first.
-
-Results: one row for each document and licence found, with the best passage (a passage counts for its closest template); a document without a notice gives one row
+Texts are normalised (lower case, everything but letters and digits to one space, line breaks as well).  A licence notice is a
+passage of a document, so every run of words is compared with every template, wherever lines begin and end, up to ``(2 - t) / t``
+times the template's bigrams in length (repeats count).  Runs and templates are sets of word bigrams; the Dice coefficient is
+``2 * shared / (size of one + size of other)``.  Runs that need not be tried: a run that does not begin and end with a bigram
+of the template scores no more than the run within it that does, and reaching the threshold takes ``t / (2 - t)`` of a
+template's bigrams, so a run begins where that many of them follow within the length.  For each template a few words are chosen
+that all but fewer bigrams than that contain; texts without any of these words are left out first.
+
+Of runs that overlap the closest counts, and those of other licences that tie with it.
+
+Results: one row for each document and licence found, with the best passage; a document without a notice gives one row
 with nulls; null and empty texts count as without; repeated rows give repeated results; an empty table gives an empty
 table; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,7 @@ TEMPLATES = {
 # Words too common to tell a notice by.
 COMMON = ["a", "and", "any", "at", "be", "by", "can", "do", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "use", "with", "work", "you", "your"]
 THRESHOLD = 0.7
+RUNS = "array<struct<dice:double,licence:string,start:int,end:int>>"
 
 
 def normalised(text: Column) -> Column:
@@ -46,8 +51,8 @@ def normalised(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Distinct word bigrams of a normalised text; a single word stands for itself."""
-    return let(F.split(text, " "), lambda w: F.when(F.size(w) < 2, F.filter(w, lambda x: x != "")).otherwise(F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))))
+    """Word bigrams of a normalised text in order, with repeats."""
+    return let(F.split(text, " "), lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -71,31 +76,59 @@ def marks(threshold: float) -> list[str]:
     return sorted(chosen)
 
 
-def _dice(passage: Column, threshold: float) -> Column:
-    """Array of (dice, licence) of the templates closest to a passage, if they reach the threshold; ties all count."""
-    n = F.size(passage)
-    hits = []
+def _templates(threshold: float) -> Column:
+    """Array of (licence, grams, least, span): bigrams that a run shares at least, and bigrams of a run at most."""
+    out = []
     for name, notices in TEMPLATES.items():
         for notice in notices:
             t = template_bigrams(notice)
-            bounded = (n * threshold <= len(t) * (2 - threshold)) & (n * (2 - threshold) >= len(t) * threshold)
-            shared = F.size(F.array_intersect(passage, F.array(*map(F.lit, t))))
-            hits.append(F.when(bounded, F.struct((2.0 * shared / (n + len(t))).alias("dice"), F.lit(name).alias("licence"))))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["dice"] >= threshold))
-    return let(found, lambda x: let(F.array_max(F.transform(x, lambda h: h["dice"])), lambda best: F.filter(x, lambda h: h["dice"] == best)))
+            # A little to the safe side of rounding; runs are compared with the threshold itself.
+            least, span = math.ceil(threshold / (2 - threshold) * len(t) - 1e-9), math.floor((2 - threshold) / threshold * len(t) + 1e-9)
+            out.append(F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, t)).alias("grams"), F.lit(least).alias("least"), F.lit(span).alias("span")))
+    return F.array(*out)
+
+
+def _runs(grams: Column, hits: Column, t: Column, threshold: float) -> Column:
+    """Array of (dice, licence, start, end) of the runs that reach the threshold for a template; start and end count bigrams."""
+
+    def scored(own: Column) -> Column:
+        def run(a: Column, b: Column) -> Column:
+            start, end = own[a]["p"], own[b]["p"]
+            shared = F.size(F.array_distinct(F.transform(F.slice(own, a + 1, b - a + 1), lambda h: h["gram"])))
+            n = F.size(F.array_distinct(F.slice(grams, start + 1, end - start + 1)))
+            return F.struct((2.0 * shared / (n + F.size(t["grams"]))).alias("dice"), t["licence"].alias("licence"), start.alias("start"), end.alias("end"))
+
+        near = lambda a, b: own[b]["p"] - own[a]["p"] < t["span"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - t["least"]), lambda a: near(a, a + t["least"] - 1))
+        ends = lambda a: F.filter(F.sequence(a + t["least"] - 1, F.least(F.size(own) - 1, a + t["span"] - 1)), lambda b: near(a, b))
+        return F.flatten(F.transform(starts, lambda a: F.filter(F.transform(ends(a), lambda b: run(a, b)), lambda r: r["dice"] >= threshold)))
+
+    own = F.filter(hits, lambda h: F.array_contains(t["grams"], h["gram"]))
+    return let(own, lambda o: F.when(F.size(o) >= t["least"], scored(o)).otherwise(F.array().cast(RUNS)))
+
+
+def _closest(runs: Column) -> Column:
+    """Runs that overlap no closer one that counts itself, and none of the same licence."""
+    order = F.transform(runs, lambda r: F.struct((-r["dice"]).alias("far"), r["start"].alias("start"), r["end"].alias("end"), r["licence"].alias("licence"), r["dice"].alias("dice")))
+    ordered = F.transform(F.array_sort(order), lambda r: F.struct(r["dice"].alias("dice"), r["licence"].alias("licence"), r["start"].alias("start"), r["end"].alias("end")))
+    beaten = lambda r, kept: F.exists(kept, lambda k: (k["start"] <= r["end"]) & (r["start"] <= k["end"]) & ((k["dice"] > r["dice"]) | (k["licence"] == r["licence"])))
+    return F.aggregate(ordered, F.array().cast(RUNS), lambda kept, r: F.when(beaten(r, kept), kept).otherwise(F.concat(kept, F.array(r)).cast(RUNS)))
 
 
 def licence_matches(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, licence, dice (best passage, six decimals), passages (how many reach the threshold); nulls and 0 if none."""
+    """doc_id, licence, dice (best passage, six decimals), passages (how many reach the threshold, overlapping ones once); nulls and 0 if none."""
     text = F.col("text")
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    both = let(lines, lambda x: F.concat(x, F.when(F.size(x) > 1, F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
     # Whole words only; text is compared in lower case.
     pattern = "(?<![\\p{L}\\p{N}])(?:" + "|".join(marks(threshold)) + ")(?![\\p{L}\\p{N}])"
-    marked = F.filter(both, lambda x: F.lower(x).rlike(pattern))
-    longest = max(len(template_bigrams(t)) for notices in TEMPLATES.values() for t in notices) * (2 - threshold) / threshold
-    sets = F.filter(F.transform(marked, lambda x: bigrams(normalised(x))), lambda s: (F.size(s) > 0) & (F.size(s) <= longest))
-    found = F.when(F.lower(text).rlike(pattern), F.flatten(F.transform(sets, lambda s: _dice(s, threshold))))
+    known = sorted({g for notices in TEMPLATES.values() for t in notices for g in template_bigrams(t)})
+
+    def scanned(grams: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda p: grams[p].isin(known))
+        hits = F.transform(at, lambda p: F.struct(p.alias("p"), grams[p].alias("gram")))
+        runs = let(hits, lambda h: F.flatten(F.transform(_templates(threshold), lambda t: _runs(grams, h, t, threshold))))
+        return F.when(F.size(grams) > 0, let(runs, _closest)).otherwise(F.array().cast(RUNS))
+
+    found = F.when(F.lower(text).rlike(pattern), let(bigrams(normalised(text)), scanned))
     kinds = F.array_distinct(F.transform(F.col("found"), lambda h: h["licence"]))
     best = F.transform(kinds, lambda k: let(F.filter(F.col("found"), lambda h: h["licence"] == k), lambda own: F.struct(k.alias("licence"), F.round(F.array_max(F.transform(own, lambda h: h["dice"])), 6).alias("dice"), F.size(own).cast("long").alias("passages"))))
     rows = texts(docs, id_col=id_col, text_col=text_col).select("doc_id", found.alias("found")).select("doc_id", F.explode_outer(best).alias("hit"))

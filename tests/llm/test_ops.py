@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -191,6 +192,29 @@ def test_licences(docs, empty):
     assert {(r.doc_id, r.licence) for r in got} == want
 
 
+def test_licences_in_running_text(spark):
+    """Notices inside longer lines, wrapped, next to each other and changed; equal to plain Dice over all runs of words."""
+    rng = random.Random(6)
+    gpl, bsd, mit = license_scan.TEMPLATES["GPL-3.0"][1], license_scan.TEMPLATES["BSD-3-Clause"][1], "Released under the MIT License."
+    filler = lambda n: " ".join(rng.choice(["stone", "river", "under", "the", "license", "is"]) for _ in range(n))
+    rows = ["Copyright (c) 2024 Example Corp. Released under the MIT License.", "Copyright 2024 by the project authors, all rights reserved. Licensed under the Apache License, Version 2.0.", f"{filler(60)} {bsd} {filler(60)}", f"{gpl} {mit}"]
+    rows += [textwrap.fill(gpl, n) for n in (30, 40, 50, 60)] + [filler(150), " ".join(w for n, w in enumerate(gpl.split()) if n % 9 != 4)]
+    want = [{"MIT"}, {"Apache-2.0"}, {"BSD-3-Clause"}, {"GPL-3.0", "MIT"}, *[{"GPL-3.0"}] * 4, set(), {"GPL-3.0"}]
+    got = defaultdict(dict)
+    for r in license_scan.licence_matches(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect():
+        got[r.doc_id] |= {r.licence: r.dice} if r.licence else {}
+    assert [set(got[k]) for k in range(len(rows))] == want
+    for k, t in enumerate(rows):
+        w = re.sub(r"[\W_]+", " ", t.lower()).split()
+        g, best = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)], 0
+        for y in (set(license_scan.template_bigrams(n)) for notices in license_scan.TEMPLATES.values() for n in notices):
+            for a in range(len(g)):
+                for b in range(a + 1, min(len(g), a + 2 * len(y)) + 1):
+                    x = set(g[a:b])
+                    best = max(best, 2 * len(x & y) / (len(x) + len(y)))
+        assert max(got[k].values(), default=0) == (round(best, 6) if best >= license_scan.THRESHOLD else 0)
+
+
 def test_quality_counts(docs, empty):
     assert quality_rules.verdicts(quality_rules.counted(empty), quality_rules.fitted(quality_rules.counted(empty))).count() == 0
     want = []
