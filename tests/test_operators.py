@@ -181,3 +181,12 @@ def test_stream(spark, tmp_path):
     q = ingest.watch(spark, f"{tmp_path}/in", "doc_id long, text string", lambda df, n: seen.extend(r.doc_id for r in df.collect()), f"{tmp_path}/state")
     q.awaitTermination(60)
     assert sorted(seen) == [1, 2]
+
+
+def test_containing_items_without_an_inner_word(spark, monkeypatch):
+    """Items of one or two words, of CJK characters, blank and null ones, in more than one block, as a plain loop finds them."""
+    docs = [(1, "the quick brown fox jumps"), (2, "北京的天气怎么样？今天很好。"), (3, "foxes and\nquick brown foxes"), (4, None), (5, "")]
+    items = [(1, "fox"), (2, "quick brown"), (3, "天气怎么样"), (4, "ick bro"), (5, "absent"), (6, "quick brown fox jumps"), (7, ""), (8, None), (9, " ")]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    got = retrieval.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id")
+    assert sorted(map(tuple, got.collect())) == sorted((d, i) for d, x in docs for i, y in items if x is not None and y is not None and y in x)
