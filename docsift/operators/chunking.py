@@ -3,6 +3,8 @@ document is one grouped call; documents are bounded, and everything around the p
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ TABLES = {"table"}
 CAPTIONS = {"caption", "table_caption", "figure_caption", "image_caption"}
 OBJECTS = {"table", "formula", "equation", "interline_equation", "image", "chart"}
 FORMULAS = {"formula", "equation", "interline_equation"}
+BOUNDARIES = TABLES | {"code", "ref_text", "reference", "references", "bibliography"}
+APPENDIX = re.compile(r"^(?:附录|appendix)\b", re.I)
 PREFIX, NO_SECTION = "章节：", "未分章节"
 CHUNK = "document_id string, segment_index int, text string, n_chars int, source_block_ids array<long>, section_path array<string>, atomic boolean"
 
@@ -79,7 +83,7 @@ def _regions(blocks: list[dict], c: Config) -> list[list[dict]]:
         else:
             runs.append([b])
     size = lambda run: sum(len(b["text"]) for b in run)
-    hard = lambda run: any(b["type"] in TABLES | {"code", "reference", "ref_text"} for b in run)
+    hard = lambda run: any(b["type"] in BOUNDARIES for b in run) or any(APPENDIX.match(x.strip()) for x in run[0]["path"])
     out, at = [], 0
     while at < len(runs):
         group, total = [runs[at]], size(runs[at])

@@ -19,20 +19,55 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame
     return rows.select(F.sha2(F.to_json(F.struct(F.lower(name).alias("source_path"))), 256).alias("document_id"), name.alias("source_path"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-LAYOUT = "pdf_info array<struct<page_idx:int,page_height:double,preproc_blocks:array<struct<type:string,text_level:int,bbox:array<double>,lines:array<struct<spans:array<struct<type:string,content:string,html:string>>>>>>>>"
+#: Levels of child blocks under a block, and discarded blocks that are read as well.
+CHILD_LEVELS = 4
+DISCARDED = ["page_footnote", "header", "footer", "page_number"]
+
+
+def _block_schema(levels: int) -> str:
+    children = f",blocks:array<{_block_schema(levels - 1)}>" if levels else ""
+    return f"struct<type:string,text_level:int,bbox:array<double>,lines:array<struct<spans:array<struct<type:string,content:string,html:string>>>>{children}>"
+
+
+LAYOUT = f"pdf_info array<struct<page_idx:int,page_height:double,preproc_blocks:array<{_block_schema(CHILD_LEVELS)}>,discarded_blocks:array<{_block_schema(CHILD_LEVELS)}>>>"
 
 
 def _span_text(span: Column) -> Column:
     return F.when(F.coalesce(F.trim(span["html"]), F.lit("")) != "", html_text(span["html"])).otherwise(F.coalesce(span["content"], F.lit("")))
 
 
+def _joined(*parts: Column) -> Column:
+    """Arrays of strings as one text, a line for each that is not empty."""
+    return F.array_join(F.filter(F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)), lambda x: x != ""), "\n")
+
+
+def _lines(block: Column) -> Column:
+    return F.transform(block["lines"], lambda line: F.array_join(F.transform(line["spans"], _span_text), ""))
+
+
+def _block_text(block: Column, levels: int) -> Column:
+    """Lines of a block, then those of its child blocks; a table's captions come before its body and its footnotes behind."""
+    if not levels:
+        return _joined(_lines(block))
+    own = lambda keep: F.transform(F.filter(block["blocks"], keep), lambda child: _block_text(child, levels - 1))
+    if levels < CHILD_LEVELS:
+        return _joined(_lines(block), own(lambda c: F.lit(True)))
+    around = ["table_caption", "table_footnote"]
+    table = _joined(own(lambda c: c["type"] == around[0]), _lines(block), own(lambda c: ~F.coalesce(c["type"].isin(around), F.lit(False))), own(lambda c: c["type"] == around[1]))
+    return F.when(block["type"] == "table", table).otherwise(_joined(_lines(block), own(lambda c: F.lit(True))))
+
+
 def layout_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks in reading order: page from 1, block_seq, block_type, text; spans join within a line, lines by line breaks."""
+    """Blocks in reading order: page from 1, block_seq, block_type, text; spans join within a line, lines by line breaks.
+
+    Footnotes, headers, footers and page numbers among a page's discarded blocks come after its other blocks.
+    """
     pages = spark.read.schema(LAYOUT).option("multiLine", True).json(path).select(F.explode("pdf_info").alias("page"))
-    blocks = pages.select((F.col("page.page_idx") + 1).alias("page"), "page.page_height", F.posexplode("page.preproc_blocks").alias("block_seq", "block"))
-    lines = F.transform("block.lines", lambda line: F.array_join(F.transform(line["spans"], _span_text), ""))
+    margins = F.filter("page.discarded_blocks", lambda b: b["type"].isin(DISCARDED))
+    every = F.concat("page.preproc_blocks", F.coalesce(margins, F.array().cast(f"array<{_block_schema(CHILD_LEVELS)}>")))
+    blocks = pages.select((F.col("page.page_idx") + 1).alias("page"), "page.page_height", F.posexplode(every).alias("block_seq", "block"))
     kind = F.when(F.col("block.type") == "interline_equation", "equation").otherwise(F.col("block.type"))
-    return blocks.select("page", "block_seq", kind.alias("block_type"), F.array_join(lines, "\n").alias("text"), "block.bbox", "page_height")
+    return blocks.select("page", "block_seq", kind.alias("block_type"), _block_text(F.col("block"), CHILD_LEVELS).alias("text"), "block.bbox", "page_height")
 
 
 def uncovered_pages(blocks: DataFrame, expected: int) -> DataFrame:

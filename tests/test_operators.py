@@ -1,5 +1,6 @@
 """Fixtures with known results and comparisons with plain loops."""
 
+import json
 import random
 
 import pytest
@@ -164,6 +165,24 @@ def test_layout(spark, tmp_path):
     assert got == [(1, "text", "first"), (1, "table", "| row one"), (2, "equation", "x=1")]
 
 
+def test_layout_child_and_discarded_blocks(spark, tmp_path):
+    leaf = lambda kind, **span: {"type": kind, "lines": [{"spans": [span]}]}
+    table = {"type": "table", "blocks": [leaf("table_footnote", content="note"), leaf("table_body", html="<table><tr><td>cell</td></tr></table>"), leaf("table_caption", content="Table 1")]}
+    image = {"type": "image", "blocks": [{"type": "image_body", "blocks": [leaf("text", content="inner")]}, leaf("image_caption", content="Figure 1")]}
+    margins = [leaf(k, content=k) for k in ("header", "abandon", "page_footnote", "footer", "page_number")]
+    pages = [{"page_idx": 0, "preproc_blocks": [table, image, {"type": "text"}], "discarded_blocks": margins}, {"page_idx": 1, "preproc_blocks": [leaf("text", content="last")]}]
+    (tmp_path / "layout.json").write_text(json.dumps({"pdf_info": pages}))
+    got = [(r.page, r.block_type, r.text) for r in readers.layout_blocks(spark, str(tmp_path)).orderBy("page", "block_seq").collect()]
+    assert got == [(1, "table", "Table 1\n| cell\nnote"), (1, "image", "inner\nFigure 1"), (1, "text", ""), *[(1, k, k) for k in ("header", "page_footnote", "footer", "page_number")], (2, "text", "last")]
+
+
+@pytest.mark.parametrize(("kind", "title"), [("references", "B"), ("bibliography", "B"), ("text", "Appendix B"), ("text", "附录 B")])
+def test_hard_boundaries(kind, title):
+    block = lambda seq, kind, title: {"seq": seq, "text": "short", "type": kind, "path": ["Part", title], "atomic": False}
+    assert len(chunking.pack([block(0, "text", "A"), block(1, "text", "B")])) == 1
+    assert len(chunking.pack([block(0, "text", "A"), block(1, kind, title)])) == 2
+
+
 def test_unsafe_members():
     assert all(map(readers.unsafe_member, ["/a", "../a", "a/../b", "a\\b", "c:a", "con.txt", "a.", "b /c"]))
     assert not any(map(readers.unsafe_member, ["a/b.json", "layout.json"]))
