@@ -19,20 +19,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    dropped = minhash_forest.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    once = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    # Repeated rows of the document that stays are copies of it as well.
-    repeated = once.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = once.join(repeated, "doc_id", "left_anti")
-    again = once.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    return single.select(*docs.columns).union(again.select("doc_id", "row.*").select(*docs.columns))
+    """One row of each group of near duplicates: the one with the smallest id, null ids last.
+
+    Rows are told apart by a key of their own, so rows without an id take part, and rows that share an id but not the text are
+    not copies of each other.  Blank texts are no near duplicates, but repeated blank rows of one id are one.
+    """
+    # The row travels as one struct, so its columns cannot clash with the key; keys are in the order of the ids.
+    row = docs.select(F.struct("*").alias("row")).orderBy(F.asc_nulls_last("row.doc_id"), F.xxhash64("row"))
+    keyed = materialize(row.select(F.monotonically_increasing_id().alias("key"), "row"), "keyed")
+    found = minhash_forest.near_duplicates(keyed.select("key", "row.text"), id_col="key").where("not kept or n_shingles = 0")
+    found = materialize(found.select(F.col("doc_id").alias("key"), "kept"), "near-copies")
+    blank = found.where("kept").join(keyed.select("key", "row.doc_id"), "key").where("doc_id is not null")
+    first = blank.groupBy("doc_id").agg(F.min("key").alias("first"))
+    again = blank.join(first, "doc_id").where("key <> first").select("key")
+    return keyed.join(found.where("not kept").select("key").union(again), "key", "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(found, "leaking"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; a hash of id and text stands for a row, as ids may be null or repeated."""
+    key = F.xxhash64("doc_id", "text")
+    found = decontamination.leaks(docs.select(key.alias("key"), "text"), read_table(spark, sf_dir, "benchmark"), id_col="key")
+    leaking = materialize(found.select(F.col("doc_id").alias("key")).distinct(), "leaking")
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    return rows.join(leaking, "key", "left_anti").select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -393,3 +393,18 @@ def test_pipeline(spark, docs, tmp_path):
     assert plain.count() >= 1
     assert plain.where("n_chars <> length(text)").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes[4]
+
+
+def test_pipeline_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    one, two, three, item = (" ".join(word() for _ in range(40)) for _ in range(4))
+    rows = [(1, one), (None, one), (None, one + " more"), (2, two), (2, three), (2, three), (None, f"{two} {item}"), (3, ""), (3, ""), (None, None), (2, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (None, f"{two} {item}"), (3, ""), (None, None), (2, item)], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminate(spark, got, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (3, ""), (None, None)], key=str)
