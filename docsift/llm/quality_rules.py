@@ -1,10 +1,12 @@
 """Quality rules combined by weak supervision (operator 6), in DataFrame functions only.
 
 Counts of a text are taken inside its row with array functions, so nothing is shuffled: five-word windows are hashed,
-sorted and compared with their neighbours.  Each rule votes good, bad or abstains.  How often each pattern of votes occurs
-is counted over the whole corpus (at most ``3 ** rules`` rows); expectation-maximisation on that table, as a naive Bayes
-model with a hidden quality, estimates how far each rule's votes can be trusted, and a text is kept if its posterior
-probability of being good reaches the threshold.
+sorted and compared with their neighbours.  Each rule votes good, bad or abstains, and each kind of fault is seen by two
+rules or more, since votes that fall together are what unlabelled estimation learns from.  How often each pattern of votes
+occurs is counted over the whole corpus (at most ``3 ** rules`` rows); expectation-maximisation on that table, as a naive
+Bayes model with a hidden quality, estimates how far each rule's votes can be trusted, and a text is kept if its posterior
+probability of being good reaches the threshold.  A bad vote of a rule that fails good texts as well is outweighed by the
+others' good votes; one that nearly all bad texts share is not.
 
 Results: a null or blank text has no words and fails the base rule; rows are judged by themselves given the corpus
 estimates, so ties and repeated rows get equal verdicts; an empty table gives an empty table (the estimates stay at their
@@ -22,9 +24,14 @@ from pyspark.sql import functions as F
 SPACE = "[ \\t-\\r]"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
+#: Words without a letter, and words that end in two or more marks; each begins at one place only, so long runs take linear time.
+LETTERLESS = "(?<![^ \\t-\\r])[^ \\t-\\r\\p{L}]++(?![^ \\t-\\r])"
+DECORATED = "(?<![^ \\t-\\r\\p{L}\\p{N}])[^ \\t-\\r\\p{L}\\p{N}]{2,}+(?![^ \\t-\\r])"
 THRESHOLD = 0.5
-#: A rule's bad vote is taken to hit at most this share of good texts; it keeps the hidden class from settling on one kind of bad text.
-FALSE_ALARM = 0.002
+#: What is assumed before texts are seen: how often a rule votes bad on bad texts, on good ones, and the share of good texts;
+#: then what each assumption weighs, as a share of all texts, so that estimates are alike at every size of the corpus.
+HIT, FALSE_ALARM, GOOD = 0.3, 0.02, 0.85
+HIT_WEIGHT, ALARM_WEIGHT, GOOD_WEIGHT = 0.1, 0.3, 0.1
 
 
 def let(value: Column, then) -> Column:
@@ -73,6 +80,8 @@ def counted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             F.size(lines).cast("long").alias("n_lines"),
             (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))).cast("long").alias("n_upper"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            F.regexp_count(text, F.lit(LETTERLESS)).cast("long").alias("n_letterless"),
+            F.regexp_count(text, F.lit(DECORATED)).cast("long").alias("n_decorated"),
         )
 
     return docs.withColumn("counts", let(words, of))
@@ -97,34 +106,36 @@ def votes(c: Column) -> list[Column]:
         rule((c["word_chars"] < 2 * n) | (c["word_chars"] > 15 * n), (c["word_chars"] >= 3 * n) & (c["word_chars"] <= 10 * n)),
         rule(100 * c["n_upper"] > 40 * F.greatest(c["word_chars"], F.lit(1)), 100 * c["n_upper"] <= 15 * F.greatest(c["word_chars"], F.lit(1))),
         rule((n >= 20) & (100 * c["n_distinct"] < 20 * n), 100 * c["n_distinct"] >= 30 * n),
+        rule(100 * c["n_letterless"] > 20 * n, 100 * c["n_letterless"] <= 10 * n),
+        rule(100 * c["n_decorated"] > 20 * n, 100 * c["n_decorated"] <= 5 * n),
     ]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[dict[int, float]]]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, float]]]:
     """Prior log odds of good and, for each rule, the log odds that each vote adds, by expectation-maximisation.
 
     A rule has two unknown rates: how often it votes bad on bad texts and on good ones, among the texts on which it votes;
-    abstaining says nothing.  The second is held to ``FALSE_ALARM`` at most, the prior share of good between 0.5 and 0.99,
-    since a corpus that is mostly bad cannot be told from a flipped labelling; each rate is smoothed by one observation.
+    abstaining says nothing.  Both, and the share of good texts, start at what is assumed and are estimated with that
+    assumption worth a share of the texts; nothing is capped.
     """
     rules = len(patterns[0][0]) if patterns else 0
-    share, hits, alarms = 0.85, [0.3] * rules, [FALSE_ALARM] * rules
+    share, hits, alarms = GOOD, [HIT] * rules, [FALSE_ALARM] * rules
     total = sum(n for _, n in patterns)
 
     def odds() -> list[dict[int, float]]:
-        return [{-1: min(0.0, math.log(a / h)), 0: 0.0, 1: max(0.0, math.log((1 - a) / (1 - h)))} for h, a in zip(hits, alarms, strict=True)]
+        return [{-1: math.log(a / h), 0: 0.0, 1: math.log((1 - a) / (1 - h))} for h, a in zip(hits, alarms, strict=True)]
+
+    def rate(k: int, assumed: float, worth: float, weights: list[float]) -> float:
+        cast = [(w * n, p[k]) for w, (p, n) in zip(weights, patterns, strict=True) if p[k]]
+        return (sum(w for w, v in cast if v < 0) + assumed * worth * total) / (sum(w for w, _ in cast) + worth * total)
 
     for _ in range(rounds if total else 0):
         weights, prior = odds(), math.log(share / (1 - share))
         good = [1 / (1 + math.exp(-(prior + sum(o[v] for o, v in zip(weights, pattern, strict=True))))) for pattern, _ in patterns]
         before = share
-        share = min(0.99, max(0.5, sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) / total))
-        for k in range(rules):
-            cast = [(g, n, p[k]) for g, (p, n) in zip(good, patterns, strict=True) if p[k]]
-            bad = sum((1 - g) * n for g, n, _ in cast)
-            fine = sum(g * n for g, n, _ in cast)
-            hits[k] = (sum((1 - g) * n for g, n, v in cast if v < 0) + 0.3) / (bad + 1)
-            alarms[k] = min(FALSE_ALARM, (sum(g * n for g, n, v in cast if v < 0) + FALSE_ALARM) / (fine + 1))
+        share = (sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) / total + GOOD * GOOD_WEIGHT) / (1 + GOOD_WEIGHT)
+        hits = [rate(k, HIT, HIT_WEIGHT, [1 - g for g in good]) for k in range(rules)]
+        alarms = [rate(k, FALSE_ALARM, ALARM_WEIGHT, good) for k in range(rules)]
         if abs(before - share) < 1e-12:
             break
     return math.log(share / (1 - share)), odds()
