@@ -20,9 +20,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from docsift.llm.common import batch_rows, texts
 
@@ -35,8 +37,10 @@ _UNICODE = {"L": r"\p{L}", "N": r"\p{N}", "S": SPACES}
 # The same classes within Latin-1, for which the plain engine takes half the time.
 _LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\\t-\\r \x85\xa0"}
 WORD_END = "\x00"
-#: Words in a generation of a Python worker's memo.
-MEMO_WORDS = 200_000
+#: Characters of the words in a generation of a Python worker's memo, with so many more for each word.
+MEMO_CHARS, MEMO_EXTRA = 14 << 20, 64
+#: Code points from here on are in no version of Unicode letters or numbers: unassigned, tags or for private use.
+PLANES = 0x40000
 
 
 @lru_cache(1)
@@ -50,25 +54,59 @@ def byte_letters() -> list[str]:
 class Memo(dict):
     """A dict that computes what it lacks.
 
-    It holds two generations of at most ``size`` entries: when the newer is full it becomes the older, and entries that are
-    asked for again move up, so frequent ones stay while memory is bounded.
+    It holds two generations of words with at most ``size`` characters together, ``MEMO_EXTRA`` added for each: when the newer
+    is full it becomes the older, and entries that are asked for again move up, so frequent ones stay while memory is bounded.
     """
 
-    def __init__(self, compute, size: int = MEMO_WORDS):
+    def __init__(self, compute, size: int = MEMO_CHARS):
         super().__init__()
-        self.compute, self.size, self.older = compute, size, {}
+        self.compute, self.size, self.held, self.older = compute, size, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
+        weight = len(key) + MEMO_EXTRA
         out = self.older.get(key)
         if out is None:
             out = self.compute(key)
+        if weight > self.size // 8:
+            return out  # a single huge word is not worth the place of many
+        if self.held + weight > self.size:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self.held += weight
         self[key] = out
         return out
 
 
+@lru_cache(4)
+def library_classes(path: str) -> tuple[str, str, str]:
+    """Letters and numbers as the library's pre-tokenizer has them, and code points to treat with its own tables.
+
+    All code points in a row are split into runs of one class, and one member of each run is tried between letters, marks and
+    numbers.  The last are those beyond the first plane, those that Python's tables do not know, and those on which the
+    tables differ.  The results are the insides of character classes.
+    """
+    pre, spaces = Tokenizer.from_file(path).pre_tokenizer, re.compile(f"[{SPACES}]")
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, PLANES)]))
+    kinds = np.zeros(len(text), np.uint8)
+    one = lambda x: len(pre.pre_tokenize_str(x)) == 1
+    for _, (begin, end) in pre.pre_tokenize_str(text):
+        c = text[end - 1]
+        if one(f"a{c}a"):
+            kinds[begin:end] = 1
+        elif not one(f"!{c}!") and not spaces.match(c):
+            kinds[begin:end] = 2
+    own = np.zeros(len(text), np.uint8)
+    for m in regex.finditer(r"(\p{L}+)|\p{N}+", text):
+        own[m.start() : m.end()] = 1 if m[1] else 2
+
+    def ranges(mask: np.ndarray) -> str:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+        return "".join(f"\\U{ord(text[a]):08x}-\\U{ord(text[b - 1]):08x}" for a, b in edges.reshape(-1, 2))
+
+    unknown = np.array([unicodedata.category(c) == "Cn" for c in text[: 0x10000 - 0x800]])
+    return ranges(kinds == 1), ranges(kinds == 2), ranges(unknown | (kinds != own)[: len(unknown)]) + "\U00010000-\U0010ffff"
+
+
 class Bpe:
     """A vocabulary file of the tokenizers library, read into match, prefix, split and offset tables."""
 
@@ -80,7 +118,11 @@ class Bpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.lowers = bool(self.suffix)
         shape = _WORDS if self.lowers else _BYTES
-        self.pattern, self.latin = regex.compile(shape.format(**_UNICODE)), re.compile(shape.format(**_LATIN))
+        self.unicode, self.latin = regex.compile(shape.format(**_UNICODE)), re.compile(shape.format(**_LATIN))
+        letters, numbers, odd = library_classes(path)
+        # The exact classes are long, so they are used only for texts with a character on which tables may differ.
+        self.exact, self.odd = re.compile(shape.format(L=letters, N=numbers, S=SPACES)), re.compile(f"[{odd}]")
+        self.normalizer = Tokenizer.from_file(path).normalizer
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added_pattern = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -104,7 +146,7 @@ class Bpe:
         self.automaton.make_automaton()
         known = {s: r for r, s in enumerate(self.shape)}
         self.shorter = [next((known[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in known), -1) for s in self.shape]
-        self.fits = Memo(self._fits, 250_000)
+        self.fits = Memo(self._fits)
         # Decoding: the texts of all ids in one string and where each begins.
         texts_of = {**names, **{i: s for s, i in self.added.items()}}
         self.offsets, self.blob = [0], "".join(texts_of.get(i, "") for i in range(max(texts_of) + 1))
@@ -185,13 +227,22 @@ class Bpe:
 
     def words(self, section: str) -> list[str]:
         if self.lowers:
-            s = section if section.isascii() else unicodedata.normalize("NFC", section)
-            section = s.lower() if "Σ" not in s else "".join([c.lower() for c in s])
+            if section.isascii():
+                section = section.lower()
+            elif self.odd.search(section):
+                section = self.normalizer.normalize_str(section)
+            else:
+                s = unicodedata.normalize("NFC", section)
+                section = s.lower() if "Σ" not in s else "".join([c.lower() for c in s])
+        return self.splitter(section).findall(section)
+
+    def splitter(self, section: str) -> re.Pattern:
+        """The pre-tokenization pattern for a text: the fastest one that is exact for its characters."""
         try:
             section.encode("latin-1")
         except UnicodeEncodeError:
-            return self.pattern.findall(section)
-        return self.latin.findall(section)
+            return self.exact if self.odd.search(section) else self.unicode
+        return self.latin
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

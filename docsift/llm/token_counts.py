@@ -11,6 +11,7 @@ equal results; an empty table gives an empty table; columns other than id and te
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,65 +19,35 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docsift.llm.bpe import Bpe, Memo, load
+from docsift.llm.bpe import SPACES, Bpe, Memo, load
 from docsift.llm.common import batch_rows, texts
 
+_SPACE = re.compile(f"[{SPACES}]+")
+
 
 class PrefixCounts:
     """Exact token counts at the prefixes of one text.
 
-    ``at[k]`` is the number of tokens that the vocabulary gives the first k code points.  Counts inside a pre-token come
-    from the dynamic program; where cutting a text changes how it is split into pre-tokens (white space, contractions,
-    special tokens), the last pieces of the prefix are split again.
+    ``at[k]`` is the number of tokens that the vocabulary gives the first k code points.  A prefix that ends within a
+    pre-token is split like the whole text up to there, but for three cases: white space at its end is one pre-token, a
+    contraction that is cut falls apart into its mark and letter, and a special token that is cut is plain text, split
+    together with the marks or white space before it.  Each place is passed a bounded number of times.
     """
 
     def __init__(self, model: Bpe, text: str):
-        self.at = [0]
-        total = 0
+        self.at, rest = [0], ""
         for section, added in model.sections(text):
-            if added >= 0:
-                head = len(self.at) - 1
-                for k in range(1, len(section)):
-                    back = self._piece_start(model, text, head)
-                    self.at.append(self.at[back] + self._count(model, text[back : head + k]))
-                total += 1
-                self.at.append(total)
+            total = self.at[-1]
+            if added < 0:
+                counts, last = section_counts(model, section)
+                self.at += [total + n for n in counts]
+                rest = section[last:]
                 continue
-            place, start = 0, len(self.at) - 1
-            for word in model.pattern.findall(section):
-                counts = model.prefix_counts(model.shaped(word))
-                sizes, byte = [], 0
-                for c in word:
-                    byte += len(c.encode("utf-8", "surrogatepass"))
-                    sizes.append(byte)
-                resplit = word.startswith("'") and word[1:2].isalpha() or word.isspace() or start + place and section[max(place - 1, 0)].isspace()
-                for k, size in enumerate(sizes, 1):
-                    if resplit and k < len(word) or word.isspace():
-                        # The run of white space in front and the opened piece are split as the prefix stands alone.
-                        back = self._run_start(section, place)
-                        self.at.append(self.at[start + back] + self._count(model, section[back : place + k]))
-                    else:
-                        self.at.append(total + counts[size])
-                place += len(word)
-                total += counts[-1]
-        # Whole sections close with the count that the full split gives.
-        self.at[-1] = total
-
-    @staticmethod
-    def _run_start(section: str, place: int) -> int:
-        while place and section[place - 1].isspace():
-            place -= 1
-        return place
-
-    @staticmethod
-    def _piece_start(model: Bpe, text: str, head: int) -> int:
-        begin = max((text.rfind(x, 0, head) + len(x) for x in model.added if text.rfind(x, 0, head) >= 0), default=0)
-        spans = [m.span() for m in model.pattern.finditer(text[begin:head])]
-        return begin + (spans[-1][0] if spans else 0)
-
-    @staticmethod
-    def _count(model: Bpe, piece: str) -> int:
-        return sum(model.prefix_counts(model.shaped(w))[-1] for w in model.pattern.findall(piece))
+            # The cut token is split together with the piece before it.
+            before = self.at[len(self.at) - 1 - len(rest)]
+            self.at += [before + n for n in section_counts(model, rest + section[:-1])[0][len(rest) :]]
+            self.at.append(total + 1)
+            rest = ""
 
     def fitting(self, budget: int) -> int:
         """Code points of the longest prefix up to which no prefix needs more than ``budget`` tokens."""
@@ -86,6 +57,39 @@ class PrefixCounts:
         return bisect_right(best, budget) - 1
 
 
+def section_counts(model: Bpe, section: str) -> tuple[list[int], int]:
+    """Tokens of each prefix but the empty one of a text without special tokens, and where its last piece begins."""
+    out, last, total = [0] * len(section), 0, 0
+    runs = _SPACE.finditer(section)
+    blank = next(runs, None)
+    for piece in model.splitter(section).finditer(section):
+        begin, end = piece.span()
+        if blank and begin <= blank.start() < end:
+            # Prefixes that end in this white space: all of it from its beginning on is one pre-token.
+            _fill(model, section, blank.start(), blank.end(), total, out)
+            last = blank.start()
+            blank = next(runs, None)
+        if _SPACE.fullmatch(piece[0]):
+            total += model.prefix_counts(model.shaped(piece[0]))[-1]
+            continue
+        last = begin
+        total = _fill(model, section, begin, end, total, out, section[begin] == " ")
+        if section[begin] == "'" and end - begin == 3 and section[begin + 1 : end].isalpha():
+            out[begin + 1] = out[begin] + model.prefix_counts(model.shaped(section[begin + 1]))[-1]
+    return out, last
+
+
+def _fill(model: Bpe, section: str, begin: int, end: int, total: int, out: list[int], skip: bool = False) -> int:
+    """Counts at the prefixes that end in one pre-token, its blank in front left out with ``skip``; returns the last."""
+    counts, byte = model.prefix_counts(model.shaped(section[begin:end])), 0
+    for k in range(begin, end):
+        c = section[k]
+        byte += 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        if k >= begin + skip:
+            out[k] = total + counts[byte]
+    return total + counts[-1]
+
+
 @lru_cache(4)
 def _counts(path: str) -> Memo:
     model = load(path)
