@@ -12,31 +12,37 @@ from docsift.llm.queries import WORD_BPE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighted quality rules keep."""
-    # The row travels as one struct, so its columns cannot clash with those of the rules.
-    rows = quality_rules.counted(docs.select(F.struct("*").alias("row"), "text"))
+    """Documents that the weighted quality rules keep.
+
+    Null, empty and blank texts and texts of fewer than ten words fail the base rule and go; ids are not looked at, so null
+    and repeated ids, repeated rows and clashing columns change nothing; an empty table gives an empty table.
+    """
+    # The row travels as one struct, so its columns cannot clash with those of the rules; counts are taken once.
+    rows = materialize(quality_rules.counted(docs.select(F.struct("*").alias("row"), "text")).select("row", "counts"), "quality-counts")
     return quality_rules.verdicts(rows, quality_rules.fitted(rows)).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one with the smallest id, null ids last.
 
-    Rows are told apart by a key of their own, so rows without an id take part, and rows that share an id but not the text are
-    not copies of each other.  Blank texts are no near duplicates, but repeated blank rows of one id are one.
+    Rows are told apart by numbers of their own, so rows without an id take part, repeated rows leave one, and rows that share
+    an id but not the text are not copies of each other.  Null, empty and blank texts are no near duplicates and stay.  An
+    empty table gives an empty table; clashing columns change nothing.
     """
-    # The row travels as one struct, so its columns cannot clash with the key; keys are in the order of the ids.
-    row = docs.select(F.struct("*").alias("row")).orderBy(F.asc_nulls_last("row.doc_id"), F.xxhash64("row"))
-    keyed = materialize(row.select(F.monotonically_increasing_id().alias("key"), "row"), "keyed")
-    found = minhash_forest.near_duplicates(keyed.select("key", "row.text"), id_col="key").where("not kept or n_shingles = 0")
-    found = materialize(found.select(F.col("doc_id").alias("key"), "kept"), "near-copies")
-    blank = found.where("kept").join(keyed.select("key", "row.doc_id"), "key").where("doc_id is not null")
-    first = blank.groupBy("doc_id").agg(F.min("key").alias("first"))
-    again = blank.join(first, "doc_id").where("key <> first").select("key")
-    return keyed.join(found.where("not kept").select("key").union(again), "key", "left_anti").select("row.*")
+    keyed = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "key")
+    found = minhash_forest.near_duplicates(keyed.select(order.alias("order"), "row.text"), id_col="order")
+    gone = materialize(found.where("not kept").select("doc_id.key"), "near-copies")
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; a hash of id and text stands for a row, as ids may be null or repeated."""
+    """Documents that hold no benchmark item.
+
+    A hash of id and text stands for a row, as ids may be null or repeated: each leaking row goes, and no other row of its id.
+    Null and empty texts hold nothing and stay; repeated rows share their verdict; an empty table of documents or items gives
+    the documents as they are; clashing columns change nothing.
+    """
     key = F.xxhash64("doc_id", "text")
     found = decontamination.leaks(docs.select(key.alias("key"), "text"), read_table(spark, sf_dir, "benchmark"), id_col="key")
     leaking = materialize(found.select(F.col("doc_id").alias("key")).distinct(), "leaking")
@@ -45,7 +51,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows the new text."""
+    """Documents with personal data replaced by its kind; n_chars follows the new text.
+
+    Every row stays.  Rows without such data, null and empty texts among them, stay as they are, n_chars included; ids are not
+    looked at; repeated rows get equal texts; an empty table gives an empty table; clashing columns change nothing.
+    """
     trees, text = pii.model(spark), F.col("plain")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("plain"))
     rows = rows.select("row", "plain", F.explode(F.array(pii.base_spans(text))).alias("base"))
@@ -57,7 +67,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text.
+
+    One row for each row, repeated and null ids included; a null text counts as empty; an empty table gives an empty table.
+    """
     return bpe.encoding_digests(docs, public_tokenizers.path(WORD_BPE))
 
 

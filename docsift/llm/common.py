@@ -19,9 +19,11 @@ _scratch: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder; a folder of our own only in local mode, where one machine does everything."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="docsift-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -12,12 +12,17 @@ whose ends are still apart.  Groups are found by alternating large and small sta
 
 A dense region does not pair all of its members, so those of dense regions that still hold several groups go through an
 exact join as well: each set is ordered from its rarest shingle on, and two sets that are similar enough share one among
-the first few.  Pairs with the same such shingle but of different groups are confirmed on full sets, with no limit on them.
+the first few of both.  The smaller set of a pair must hold it even earlier than the larger one, so what a template has in
+common, which comes behind each page's own shingles, joins only sets that can reach the threshold.  Pairs with the same such
+shingle but of different groups are confirmed on full sets, with no limit on them.
+
+Nodes are numbers of rows, given when the signatures are written; ids come back only at the end, so null, repeated and
+shared ids neither lose nor make a link.
 
 Results: null, empty and blank texts have no shingles, are linked with nothing and keep themselves; a text of fewer than
 five words is one shingle; equal texts are linked; each row of the input gives one row, also if rows repeat; rows that
-share a doc_id but not the text are told apart by their sets; a null doc_id takes part but cannot be the smallest id of a
-group; an empty table gives an empty table; columns other than id and text are not read.
+share a doc_id but not the text belong to their own groups; a null doc_id takes part and links others, but is the id of a
+group only if the group has no other; an empty table gives an empty table; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import batch_rows, drop_scratch, materialize, texts
+from docsift.llm.common import batch_rows, drop_scratch, materialize
 
 WORDS = 5
 TREES, STEP = 20, 6
@@ -41,6 +46,8 @@ SIZE = TREES * STEP
 DEPTH, MIN_DEPTH = 12, 4
 #: Neighbours in each order; a region of more than one member beside them is dense.
 NEAR = 3
+#: Rows of a batch whose results a worker holds at once.
+ROWS = 256
 #: Counters for how frequent shingles are; shared counters cost time only, as any order of shingles gives the same links.
 COUNTERS = 1 << 18
 #: A pair is confirmed if its sketches agree in this share of places: five standard deviations below 0.85.
@@ -81,20 +88,26 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes that identify the set; null if empty), signature (two bytes a value)."""
+    """doc_id, n_shingles, set_key (16 bytes that identify the set; null if empty), signature (two bytes a value), packed_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc_id, text in batch_rows(batch, "doc_id", "text"):
-                s = shingle_set(text)
-                out[0].append(doc_id)
-                out[1].append(len(s))
-                out[2].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                out[3].append(_mixed(signature(s).astype(np.uint64)).astype(">u2").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+        pack = zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            # Few rows at a time, so a worker holds the compressed texts of those alone.
+            for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                sizes, keys, sketches, packed = [], [], [], []
+                for (text,) in batch_rows(batch, "text"):
+                    s = shingle_set(text)
+                    sizes.append(len(s))
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    sketches.append(_mixed(signature(s).astype(np.uint64)).astype(">u2").tobytes() if len(s) else None)
+                    packed.append(pack.compress(text.encode("utf-8", "surrogatepass")) if len(s) else None)
+                ids = batch.column(batch.schema.get_field_index("doc_id"))
+                columns = [ids, pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, sketches, packed))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "signature", "packed_text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, signature binary, packed_text binary")
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -195,13 +208,13 @@ def _confirmed(percent: int):
     return run
 
 
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, *, sketched: bool = True) -> DataFrame:
+def links(pairs: DataFrame, classes: DataFrame, stored: DataFrame, percent: int, *, sketched: bool = True) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union; ``sketched`` drops hopeless ones first.  Hot nodes are left to the skew join."""
     sketch = lambda x: classes.select(F.col("node").alias(x), F.col("signature").alias(f"sketch_{x}"))
     likely = pairs.select("a", "b")
     if sketched:
         likely = likely.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long")
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("packed_text").alias(f"text_{x}"))
+    text = lambda x: stored.select(F.col("node").alias(x), F.col("packed_text").alias(f"text_{x}"))
     both = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
@@ -256,13 +269,21 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sharing(rare: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b of different groups that share a rare shingle early enough for so similar sets."""
+    """Distinct pairs a < b of different groups that share a rare shingle early enough for so similar sets.
+
+    With n <= m shingles, similar enough sets share at least percent * (n + m) / (100 + percent) of them, hence at least
+    2 * percent * n / (100 + percent): the smaller one holds the first common shingle among its first n minus so many plus
+    one.  Only such rows stand on the smaller side of the join.
+    """
     several = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = materialize(rare.join(several.select("shingle"), "shingle"), "shared-shingles")
     side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "node", "component")))
+    early = side("a").where(f"(n_a - place_a) * {100 + percent} >= {2 * percent} * n_a")
     # At the first shingle that both have, what follows in the shorter rest bounds the intersection.
     enough = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
-    return side("a").join(side("b"), "shingle").where(f"node_a < node_b and component_a <> component_b and {enough}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    smaller = "(n_a < n_b or n_a = n_b and node_a < node_b)"
+    found = early.join(side("b"), "shingle").where(f"component_a <> component_b and {smaller} and {enough}")
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -286,29 +307,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         seen = state
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text, so a shuffle moves less."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for (t,) in batch_rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], ["doc_id", "packed_text"])
-
-    return docs.mapInArrow(run, "doc_id long, packed_text binary")
-
-
 def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (whether it is that document)."""
-    docs = texts(docs, id_col=id_col, text_col=text_col)
-    signed = materialize(signatures(docs), "signatures")
-    per_set = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "signature"))).alias("least")).select("set_key", "least.*")
-    classes = materialize(per_set.where("doc_id is not null").select(F.col("doc_id").alias("node"), "set_key", "signature"), "classes")
+    """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (whether it is that document).
+
+    The id may be of any type with an order.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed = materialize(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures", compression="none")
+    per_set = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("row", "signature")).alias("least"), F.min("doc_id").alias("least_id"))
+    classes = materialize(per_set.select(F.col("least.row").alias("node"), "set_key", "least.signature", "least_id"), "classes")
     pairs = candidates(classes)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # The wanted ids grow with the corpus, so this is a merge join at every size.
-    text = materialize(_packed(docs).join(wanted.hint("merge"), "doc_id"), "candidate-texts", compression="none")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # The wanted rows grow with the corpus, so this is a merge join at every size.
+    text = materialize(signed.select(F.col("row").alias("node"), "packed_text").join(wanted.hint("merge"), "node"), "candidate-texts", compression="none")
     sure = materialize(links(pairs.where("first"), classes, text, percent), "links")
     groups = components(sure)
     of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
@@ -316,15 +327,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     more = materialize(links(apart, classes, text, percent), "links")
     groups = materialize(components(sure.union(more)), "groups")
     open_sets = unsettled(classes, groups)
-    sets = materialize(open_sets.join(text.withColumnRenamed("doc_id", "node"), "node"), "unsettled-texts", compression="none")
+    sets = materialize(open_sets.join(text, "node"), "unsettled-texts", compression="none")
     rare = materialize(rare_shingles(sets, percent), "rare-shingles")
     exact = materialize(links(sharing(rare, percent), classes, text, percent, sketched=False), "links")
     drop_scratch(sets, rare, open_sets)
     if not exact.isEmpty():
         groups = components(sure.union(more).union(exact))
     drop_scratch(text, pairs)
+    of_class = classes.select("set_key", "node", "least_id").join(groups, "node", "left").select("set_key", "least_id", F.coalesce("component", "node").alias("component"))
+    of_class = materialize(of_class, "class-groups")
+    least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
     # A hot set is one row here and many on the other side, which the skew join splits.
-    of_set = classes.select("set_key", "node").join(groups, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    of_set = of_class.join(least, "component").select("set_key", "component_id")
     full = signed.where("set_key is not null").select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").select("doc_id", "n_shingles", "component_id")
     blank = signed.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(blank).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return full.union(blank).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.expr("doc_id <=> component_id"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import defaultdict
 
@@ -109,11 +110,25 @@ def test_dense_regions_lose_no_link(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs).collect()}
     assert got == group
     # The join itself proposes every link between sets that no group joins yet.
-    packed = minhash_forest._packed(docs).withColumnRenamed("doc_id", "node").withColumn("component", F.col("node"))
+    packed = minhash_forest.signatures(docs).select(F.col("doc_id").alias("node"), "packed_text", F.col("doc_id").alias("component"))
     proposed = {(r.a, r.b) for r in minhash_forest.sharing(minhash_forest.rare_shingles(packed, 85), 85).collect()}
     assert proposed >= set(linked)
 
 
+def test_links_through_null_and_shared_ids(spark):
+    """A null id links others, and rows of one id with different texts belong to different groups."""
+    rng = random.Random(31)
+    words = lambda: [f"{rng.choice('bcdfg')}{rng.randrange(9999)}" for _ in range(120)]
+    swapped = lambda w, at: [*w[:at], "zz", *w[at + 1 :]]
+    chain = words()
+    first, second, third = chain, swapped(chain, 30), swapped(swapped(chain, 30), 80)
+    other, alone = words(), words()
+    rows = [(7, first), (None, second), (5, third), (9, other), (9, alone), (8, swapped(other, 50)), (None, words())]
+    found = minhash_forest.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in found.collect()), key=str)
+    assert got == sorted([(7, 5, False), (None, 5, False), (5, 5, True), (9, 8, False), (9, 9, True), (8, 8, True), (None, None, True)], key=str)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 99), (99, 98)], "a long, b long")
     got = {r.node: r.component for r in minhash_forest.components(edges).collect()}
@@ -229,20 +244,6 @@ def test_quality_counts(docs, empty):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-def test_quality_estimation_finds_the_bad_class():
-    rng, patterns = random.Random(3), defaultdict(int)
-    truth = {}
-    for _ in range(4000):
-        bad = rng.random() < 0.15
-        kind = rng.randrange(4)
-        p = tuple(-1 if bad and k == kind or rng.random() < 0.0005 else 1 for k in range(4))
-        patterns[p] += 1
-        truth.setdefault(p, []).append(bad)
-    prior, odds = quality_rules.estimate(list(patterns.items()))
-    wrong = sum(((prior + sum(o[v] for o, v in zip(odds, p, strict=True)) < 0) != b) for p, bs in truth.items() for b in bs)
-    assert wrong < 40
-
-
 def test_compression_classifier(spark, docs, empty):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "river", "and", "stone", "walked", "over", "slowly"]) for _ in range(60))
@@ -301,6 +302,32 @@ def test_counts_at_every_prefix():
         assert cut == len(t) or want[cut + 1] > 3
 
 
+def test_prefix_counts_take_linear_time():
+    model = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("\n" + "abcdefgh" * 12_500, " " * 100_000, "a b\n" * 25_000, "!" * 100_000 + "<|endoftext|>", "<|endoftext|>" * 8_000):
+        began = time.process_time()
+        counts = token_counts.PrefixCounts(model, text).at
+        assert time.process_time() - began < 10
+        assert len(counts) == len(text) + 1
+        assert counts[-1] == len(model.encode(text))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library_on_every_code_point(name):
+    library, model = Tokenizer.from_file(public_tokenizers.path(name)), bpe.load(public_tokenizers.path(name))
+    for lo in range(0, 0x110000, 1024):
+        t = "".join(f"a{chr(c)}1{chr(c)}{chr(c)}!{chr(c)} " for c in range(lo, lo + 1024) if not 0xD800 <= c < 0xE000)
+        assert model.encode(t) == library.encode(t, add_special_tokens=False).ids, hex(lo)
+
+
+def test_memo_is_bounded_by_characters():
+    memo = bpe.Memo(str.upper, size=10_000)
+    for k in range(2000):
+        assert memo[f"{k}" * 20] == f"{k}" * 20
+    assert memo["x" * 50_000] == "X" * 50_000
+    assert sum(len(k) for k in [*memo, *memo.older]) <= 20_000
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, empty, tmp_path, encoding):
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -403,8 +430,8 @@ def test_pipeline_rows_with_null_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (None, f"{two} {item}"), (3, ""), (None, None), (2, item)], key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (None, f"{two} {item}"), (3, ""), (3, ""), (None, None), (2, item)], key=str)
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.decontaminate(spark, got, str(tmp_path))
     assert left.columns == docs.columns
-    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (3, ""), (None, None)], key=str)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (3, ""), (3, ""), (None, None)], key=str)
