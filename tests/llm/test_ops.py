@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -390,17 +391,85 @@ def test_decontamination_of_short_items_in_a_large_corpus():
             assert k in block.search(around[0] + changed + around[1])
 
 
+def perturbed_corpus(seed, n_items):
+    """Items, and documents that hold each one with words dropped, replaced or inserted."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(1500)]
+    items = [(k, " ".join(rng.sample(words, rng.randint(8, 60)))) for k in range(n_items)]
+    rows = []
+    for k, t in items:
+        for share in (0.0, 0.1, 0.2, 0.3):
+            for how in ("drop", "replace", "insert"):
+                out = []
+                for w in t.split():
+                    if rng.random() < share:
+                        out += [] if how == "drop" else [rng.choice(words)] if how == "replace" else [w, rng.choice(words)]
+                    else:
+                        out.append(w)
+                filler = [" ".join(rng.choices(words, k=rng.randint(5, 120))) for _ in range(2)]
+                rows.append((len(rows), f"{filler[0]} {' '.join(out)} {filler[1]}"))
+    return items, rows + [(10_000 + k, " ".join(rng.choices(words, k=150))) for k in range(100)]
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("rank", [256, 8])
+def test_decontamination_recall_against_every_pair(spark, monkeypatch, rank):
+    """All pairs by longest common subsequence, also with a space of too few directions; equal results however rows are dealt."""
+    monkeypatch.setattr(decontamination, "RANK", rank)
+    items, rows = perturbed_corpus(3, 25)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for parts in (2, 16):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got.append(sorted(map(tuple, decontamination.leaks(docs, bench).collect())))
+    assert got[0] == got[1]
+    want = set()
+    for i, t in rows:
+        w = t.split()
+        for k, item in items:
+            x = item.split()
+            if len(set(x) & set(w)) >= 0.65 * len(x):
+                best = max(lcs(x, w[at : at + 2 * len(x)]) for at in range(0, max(1, len(w) - len(x)), 4))
+                want |= {(i, k)} if best >= 0.65 * len(x) else set()
+    found = {(r[0], r[1]) for r in got[0]}
+    assert len(found & want) >= 0.97 * len(want) > 200
+    assert not {i for i, _ in found if i >= 10_000}
+
+
+def test_decontamination_of_short_items_wants_them_in_sequence(spark):
+    bench = spark.createDataFrame([(1, "alpha bravo charlie delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "foo alpha one bravo two charlie three delta bar"), (2, "foo Alpha, bravo charlie delta bar")], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.leaks(docs, bench).collect()} == {2}
+
+
+def test_decontamination_of_a_very_long_text():
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(5000)}".encode() for _ in range(400_000)]
+    item = [f"w{k}".encode() for k in rng.sample(range(5000), 40)]
+    block = decontamination.Block([(1, b" ".join(item).decode())])
+    block.weigh({}, 100, [words[:500]])
+    block.place(np.eye(len(block.vocab), dtype=np.float32))
+    tracemalloc.start()
+    assert block.search(words) == {}
+    assert list(block.search([*words[:200_000], *item[:15], b"zz", *item[16:], *words[200_000:]])) == [0]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for k, y in enumerate(b):
-                new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
-            row = new
-        assert decontamination.common_subsequence(a, b) == row[-1]
+        assert decontamination.common_subsequence(a, b) == lcs(a, b)
 
 
 def test_pipeline(spark, docs, tmp_path):
