@@ -38,7 +38,7 @@ _UNICODE = {"L": r"\p{L}", "N": r"\p{N}", "S": SPACES}
 _LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\\t-\\r \x85\xa0"}
 WORD_END = "\x00"
 #: Characters of the words in a generation of a Python worker's memo, with so many more for each word.
-MEMO_CHARS, MEMO_EXTRA = 14 << 20, 64
+MEMO_CHARS, MEMO_EXTRA = 5 << 20, 64
 #: Code points from here on are in no version of Unicode letters or numbers: unassigned, tags or for private use.
 PLANES = 0x40000
 
@@ -77,6 +77,14 @@ class Memo(dict):
         return out
 
 
+def _splitter(path: str) -> Tokenizer:
+    """The library's normalizer and pre-tokenizer of a file, without its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = {k: spec.get(k) for k in ("version", "normalizer", "pre_tokenizer")}
+    return Tokenizer.from_str(json.dumps(parts | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+
+
 @lru_cache(4)
 def library_classes(path: str) -> tuple[str, str, str]:
     """Letters and numbers as the library's pre-tokenizer has them, and code points to treat with its own tables.
@@ -85,25 +93,26 @@ def library_classes(path: str) -> tuple[str, str, str]:
     numbers.  The last are those beyond the first plane, those that Python's tables do not know, and those on which the
     tables differ.  The results are the insides of character classes.
     """
-    pre, spaces = Tokenizer.from_file(path).pre_tokenizer, re.compile(f"[{SPACES}]")
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, PLANES)]))
-    kinds = np.zeros(len(text), np.uint8)
+    pre, spaces = _splitter(path).pre_tokenizer, re.compile(f"[{SPACES}]")
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, PLANES)])
+    kinds, own = np.zeros(len(points), np.uint8), np.zeros(len(points), np.uint8)
     one = lambda x: len(pre.pre_tokenize_str(x)) == 1
-    for _, (begin, end) in pre.pre_tokenize_str(text):
-        c = text[end - 1]
-        if one(f"a{c}a"):
-            kinds[begin:end] = 1
-        elif not one(f"!{c}!") and not spaces.match(c):
-            kinds[begin:end] = 2
-    own = np.zeros(len(text), np.uint8)
-    for m in regex.finditer(r"(\p{L}+)|\p{N}+", text):
-        own[m.start() : m.end()] = 1 if m[1] else 2
+    for at in range(0, len(points), 4096):
+        text = "".join(map(chr, points[at : at + 4096].tolist()))
+        for _, (begin, end) in pre.pre_tokenize_str(text):
+            c = text[end - 1]
+            if one(f"a{c}a"):
+                kinds[at + begin : at + end] = 1
+            elif not one(f"!{c}!") and not spaces.match(c):
+                kinds[at + begin : at + end] = 2
+        for m in regex.finditer(r"(\p{L}+)|\p{N}+", text):
+            own[at + m.start() : at + m.end()] = 1 if m[1] else 2
 
     def ranges(mask: np.ndarray) -> str:
         edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-        return "".join(f"\\U{ord(text[a]):08x}-\\U{ord(text[b - 1]):08x}" for a, b in edges.reshape(-1, 2))
+        return "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for a, b in edges.reshape(-1, 2))
 
-    unknown = np.array([unicodedata.category(c) == "Cn" for c in text[: 0x10000 - 0x800]])
+    unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in points[: 0x10000 - 0x800].tolist()])
     return ranges(kinds == 1), ranges(kinds == 2), ranges(unknown | (kinds != own)[: len(unknown)]) + "\U00010000-\U0010ffff"
 
 
@@ -122,7 +131,7 @@ class Bpe:
         letters, numbers, odd = library_classes(path)
         # The exact classes are long, so they are used only for texts with a character on which tables may differ.
         self.exact, self.odd = re.compile(shape.format(L=letters, N=numbers, S=SPACES)), re.compile(f"[{odd}]")
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.normalizer = _splitter(path).normalizer
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added_pattern = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
