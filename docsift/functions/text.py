@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A latin word with joins, a number with decimals and percent sign, or a run of CJK characters.
-TOKEN = r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*(?:%|\x{FF05})?|[\x{3400}-\x{9fff}]+"
+TOKEN = r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*(?:%|％)?|[\x{3400}-\x{9fff}]+"
 CJK = r"^[\x{3400}-\x{9fff}]"
 # Page tokens in repeated margins, the whole-answer refusal, citations.
 ROMAN = r"(?i)(?<![A-Za-z])[ivxlcdm]+(?![A-Za-z])"
@@ -66,6 +66,54 @@ def percent(value: Column) -> Column:
     return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit(""))
 
 
+def seconds(value: Column) -> Column:
+    """Two decimals and the unit; blank for null."""
+    return F.coalesce(F.format_string("%.2fs", value), F.lit(""))
+
+
+def iso_time(value: Column) -> Column:
+    """A timestamp as text in UTC with microseconds."""
+    utc = F.to_utc_timestamp(value, F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def html_escape(text: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def slug(text: Column, length: int = 24) -> Column:
+    """A text as part of a file name: runs of other characters than letters, digits and CJK become one dash."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"[^0-9A-Za-z\x{3400}-\x{9fff}]+", "-"), "^-+|-+$", "")
+    return F.when(plain == "", "query").otherwise(F.left(plain, F.lit(length)))
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, r"[/\\]"), -1)
+
+
+def host(url: Column) -> Column:
+    """The host of an address in lower case, null where there is none."""
+    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """Entries of both maps, those of the second where both have a key."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(second), k)), second)
+
+
+def without_keys(value: Column, keys: list[str]) -> Column:
+    """The entries of a map but for some keys."""
+    return F.map_filter(value, lambda k, v: ~k.isin(keys))
+
+
+def counted(values: Column) -> Column:
+    """A map of the distinct values of an array to how often they occur."""
+    distinct = F.array_sort(F.array_distinct(values))
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda d: F.size(F.filter(values, lambda v: v == d))))
+
+
 def redact(text: Column) -> Column:
     """Bearer tokens and addresses of remote calls left out of messages."""
     return F.regexp_replace(F.regexp_replace(text, r"(?i)bearer\s+\S+", "Bearer <redacted>"), r"https?://\S+", "<url>")

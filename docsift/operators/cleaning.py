@@ -1,63 +1,177 @@
-"""Block cleaning: repeated margins, titles, section paths and paragraphs that go on over a page break."""
+"""Block cleaning: repeated margins, titles, section paths and paragraphs that go on over a page break.
+
+``cleaned`` runs all steps over whole documents and falls back to a document's own blocks where the outcome cannot be traced.
+Every step is a window or an aggregation within a document, so one shuffle by document serves nearly all of them.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.config import DEFAULT, Config
-from docsift.functions.text import repeat_key, strip
+from docsift.functions.text import normalized, repeat_key, strip
 
-# Numbering rules of titles with their level (None: by the number of dots), then the weak rules, and the
-# prefixes and endings that decide about merging.
+# Block types with rules of their own.
+PROTECTED = ["table", "formula", "equation", "interline_equation", "image", "chart", "code"]
+ATOMIC = ["table", "formula", "equation", "interline_equation"]
+PRESERVED = ["table", "formula", "equation", "interline_equation", "page_footnote", "footnote", "ref_text", "reference"]
+EMPTY_OUT = ["text", "paragraph", "title", "header", "footer", "page_number"]
+PARAGRAPHS = ["text", "paragraph"]
+UNTITLED = ["list", "caption", "ref_text", "reference", "page_footnote", "footnote"]
+KNOWN = [*PROTECTED, *PARAGRAPHS, "title", "caption", "list", "page_footnote", "footnote", "ref_text", "reference", "header", "footer", "page_number", "discarded"]
+# Numbering rules of titles with their name and level (None: by the number of dots), then the weak rules, and
+# the prefixes and endings that decide about titles and merging.
 NUMBER = "[一二三四五六七八九十百千零〇两]+"
 TITLES = [
-    (rf"^第(?:[0-9]+|{NUMBER})章(?:\s*[:：、.]?\s*.*)?$", 1),
-    (rf"^第(?:[0-9]+|{NUMBER})节(?:\s*[:：、.]?\s*.*)?$", 2),
-    (r"^([0-9]+(?:\.[0-9]+){0,5})(?:[.、])?\s+\S.+$", None),
-    (r"^([0-9]+(?:\.[0-9]+){0,5})[.、]([A-Z\x{3400}-\x{9fff}]\S*)$", None),
-    (rf"^{NUMBER}、\s*\S.+$", 1),
-    (rf"^[（(]{NUMBER}[）)]\s*\S.+$", 2),
+    ("chinese_chapter", rf"(?U)^第(?:[0-9]+|{NUMBER})章(?:\s*[:：、.]?\s*.*)?$", 1),
+    ("chinese_section", rf"(?U)^第(?:[0-9]+|{NUMBER})节(?:\s*[:：、.]?\s*.*)?$", 2),
+    ("arabic_hierarchy", r"(?U)^([0-9]+(?:\.[0-9]+){0,5})(?:[.、])?\s+\S.+$", None),
+    ("arabic_compact", r"(?U)^([0-9]+(?:\.[0-9]+){0,5})[.、]([A-Z\x{3400}-\x{9fff}]\S*)$", None),
+    ("chinese_major", rf"(?U)^{NUMBER}、\s*\S.+$", 1),
+    ("chinese_parenthesized", rf"(?U)^[（(]{NUMBER}[）)]\s*\S.+$", 2),
 ]
-WEAK_TITLES = [(r"^(?:[（(][0-9]+[）)]|[0-9]+[）)])\s*\S.+$", 3), (r"^[①②③④⑤⑥⑦⑧⑨⑩]\s*\S.+$", 3)]
-HEADING = rf"^(?:第(?:[0-9]+|{NUMBER})[章节]|[0-9]+(?:\.[0-9]+)*[.、]?\s+|[0-9]+(?:\.[0-9]+)*[.、][A-Z\x{{3400}}-\x{{9fff}}]|{NUMBER}、|[（(](?:[0-9]+|{NUMBER})[）)]|[0-9]+[）)]|[①②③④⑤⑥⑦⑧⑨⑩])"
+WEAK_TITLES = [("arabic_parenthesized", r"(?U)^(?:[（(][0-9]+[）)]|[0-9]+[）)])\s*\S.+$", 3), ("circled_number", r"(?U)^[①②③④⑤⑥⑦⑧⑨⑩]\s*\S.+$", 3)]
+HEADING = rf"(?U)^(?:第(?:[0-9]+|{NUMBER})[章节]|[0-9]+(?:\.[0-9]+)*[.、]?\s+|[0-9]+(?:\.[0-9]+)*[.、][A-Z\x{{3400}}-\x{{9fff}}]|{NUMBER}、|[（(](?:[0-9]+|{NUMBER})[）)]|[0-9]+[）)]|[①②③④⑤⑥⑦⑧⑨⑩])"
 CAPTION = r"(?i)^(?:图|表|Figure|Table)\s*[A-Za-z0-9一二三四五六七八九十.-]+"
+REFERENCE = r"^\s*(?:\[[0-9]+\]|[0-9]+[.)、])\s*"
+PAGE_ONLY = r"(?iU)^\s*(?:[-—–]\s*)?(?:[0-9]+|[ivxlcdm]+)(?:\s*[-—–])?\s*$"
+SENTENCE_ENDS = "[。.！!？?]$"
 ENDS = "[。！？.!?；;：:]$"
 CONTINUES = "^(?:的|了|和|与|及|或|而|并|但|则|其|这|该|其中|以及|同时)"
-SPECIAL = ["list", "caption", "table_caption", "figure_caption", "image_caption", "ref_text", "reference", "page_footnote", "header", "footer"]
+COUNTERS = {"normalize_text": "normalized_blocks", "promote_title": "promoted_titles", "assign_title_level": "assigned_title_levels", "cross_page_paragraph_merge": "merged_cross_page_paragraphs"}
+MARGIN_COUNTERS = {"repeated_header": "excluded_headers", "repeated_footer": "excluded_footers", "page_number": "excluded_page_numbers"}
+OPERATION = "struct<op:string,rule:string>"
+
+
+def _operation(when: Column, name: str, rule: Column | str) -> Column:
+    """The operations of a block with one more where the condition holds."""
+    new = F.array(F.struct(F.lit(name).alias("op"), (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule")))
+    return F.when(F.coalesce(when, F.lit(False)), F.concat("operations", new)).otherwise(F.col("operations"))
+
+
+def prepared(blocks: DataFrame) -> DataFrame:
+    """Blocks with every column that cleaning reads; document_id, block_seq and text must be there, others have defaults.
+
+    A block without an id gets one from its document, page, place and text; a block is atomic by its type unless it says so.
+    """
+    have = set(blocks.columns)
+    given = lambda name, kind: F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+    page = F.coalesce(given("page_start", "int"), given("page", "int"), F.lit(1))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    made = F.concat(F.lit("block_"), F.left(F.sha2(F.to_json(F.array(F.col("document_id").cast("string"), page.cast("string"), F.col("block_seq").cast("string"), text)), 256), F.lit(20)))
+    kind = F.when(given("block_type", "string") == "", "unknown").otherwise(F.coalesce(given("block_type", "string"), F.lit("text")))
+    block_id = F.coalesce(given("block_id", "string"), made)
+    sources = F.when(F.size(given("source_block_ids", "array<string>")) > 0, given("source_block_ids", "array<string>")).otherwise(F.array(block_id))
+    new = {
+        "text": text,
+        "block_id": block_id,
+        "source_block_ids": sources,
+        "block_type": kind,
+        "page_start": page,
+        "page_end": F.coalesce(given("page_end", "int"), page),
+        "title_level": F.coalesce(given("title_level", "int"), given("text_level", "int")),
+        "bbox": given("bbox", "array<double>"),
+        "page_height": given("page_height", "double"),
+        "atomic": F.coalesce(given("atomic", "boolean"), kind.isin(ATOMIC)),
+        "excluded": F.coalesce(given("excluded", "boolean"), F.lit(False)),
+        "excluded_reason": given("excluded_reason", "string"),
+        "operations": given("operations", f"array<{OPERATION}>"),
+    }
+    return blocks.withColumns(new | {"operations": F.coalesce(new["operations"], F.array().cast(f"array<{OPERATION}>"))})
+
+
+def normalized_blocks(blocks: DataFrame) -> DataFrame:
+    """Plain text in normal form; objects and code stay as they are, and blocks of text without any are left out."""
+    text = F.when(F.col("block_type").isin(PROTECTED), F.col("text")).otherwise(normalized(F.col("text")))
+    rows = blocks.withColumn("plain", text)
+    rows = rows.withColumn("operations", _operation(F.col("plain") != F.col("text"), "normalize_text", "collapse_plain_spaces")).withColumn("text", F.col("plain")).drop("plain")
+    empty = (strip(F.col("text")) == "") & F.col("block_type").isin(EMPTY_OUT)
+    return rows.withColumns({"excluded": F.col("excluded") | empty, "excluded_reason": F.when(empty, F.coalesce("excluded_reason", F.lit("empty_text"))).otherwise(F.col("excluded_reason"))})
+
+
+def _as_prepared(blocks: DataFrame) -> DataFrame:
+    return blocks if {"operations", "page_start", "page_height"} <= set(blocks.columns) else prepared(blocks)
 
 
 def margin_candidates(blocks: DataFrame) -> DataFrame:
-    """The first two and last two blocks of each page with their position; a header goes before a footer on short pages."""
-    page = Window.partitionBy("document_id", "page")
-    rows = blocks.withColumn("from_top", F.row_number().over(page.orderBy("block_seq"))).withColumn("from_end", F.row_number().over(page.orderBy(F.desc("block_seq"))))
-    position = F.when(F.col("from_top") <= 2, "header").when(F.col("from_end") <= 2, "footer")
-    return rows.withColumn("position", position).where("position is not null").withColumn("key", repeat_key(F.col("text"))).where("key <> ''")
+    """Adds pages of the document, and position and key of blocks that may be a margin, null for others.
+
+    The type decides, then the box; without a box of known scale the first two and last two blocks of a page are candidates,
+    a header before a footer on short pages.
+    """
+    rows = _as_prepared(blocks)
+    page = Window.partitionBy("document_id", "page_start")
+    rows = rows.withColumns({"from_top": F.row_number().over(page.orderBy("block_seq")), "on_page": F.count("*").over(page)})
+    box = F.when(F.size("bbox") >= 4, bbox_position(F.col("bbox")[1], F.col("bbox")[3], F.col("page_height")))
+    by_order = F.when(F.col("from_top") <= 2, "header").when(F.col("from_top") > F.col("on_page") - 2, "footer")
+    position = F.when(F.col("block_type") == "header", "header").when(F.col("block_type").isin("footer", "page_number"), "footer").when(box.isin("header", "footer"), box).when(box.isNull(), by_order)
+    position = F.when(strip(F.col("text")) != "", position)
+    rows = rows.withColumns({"position": position, "key": F.when(position.isNotNull(), repeat_key(F.col("text")))})
+    # The number of pages is the largest dense rank.
+    rows = rows.withColumn("page_rank", F.dense_rank().over(Window.partitionBy("document_id").orderBy("page_start")))
+    return rows.withColumn("pages", F.max("page_rank").over(Window.partitionBy("document_id"))).drop("from_top", "on_page", "page_rank")
+
+
+def _repeats(hits: Column, config: Config) -> Column:
+    return (F.col("pages") >= config.margin_pages) & ((hits >= config.margin_hits) | (hits / F.col("pages") >= config.margin_share))
 
 
 def repeated_margins(blocks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """document_id, position, key, pages on which it stands, of documents with three pages or more."""
-    seen = margin_candidates(blocks).groupBy("document_id", "position", "key").agg(F.countDistinct("page").alias("hits"))
-    pages = blocks.groupBy("document_id").agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
-    return seen.join(pages, "document_id").where((F.col("hits") >= config.margin_hits) | (F.col("hits") / F.col("pages") >= config.margin_share))
+    found = margin_candidates(blocks).where("position is not null").groupBy("document_id", "position", "key")
+    return found.agg(F.countDistinct("page_start").alias("hits"), F.max("pages").alias("pages")).where(_repeats(F.col("hits"), config))
+
+
+def without_margins(blocks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Blocks whose template repeats in one position on enough pages are excluded, with the reason."""
+    same = Window.partitionBy("document_id", "position", "key")
+    rows = margin_candidates(blocks).withColumn("nth_page", F.dense_rank().over(same.orderBy("page_start"))).withColumn("hits", F.max("nth_page").over(same))
+    out = F.col("position").isNotNull() & _repeats(F.col("hits"), config) & (~F.col("excluded") | F.coalesce(F.col("excluded_reason") == "empty_text", F.lit(False)))
+    reason = F.when((F.col("block_type") == "page_number") | F.col("text").rlike(PAGE_ONLY), "page_number").otherwise(F.concat(F.lit("repeated_"), "position"))
+    rows = rows.withColumn("out", F.coalesce(out, F.lit(False))).withColumn("operations", _operation(F.col("out"), "exclude_repeated_margin", reason))
+    return rows.withColumns({"excluded": F.col("excluded") | F.col("out"), "excluded_reason": F.when(F.col("out"), reason).otherwise(F.col("excluded_reason"))}).drop("position", "key", "pages", "nth_page", "hits", "out")
+
+
+def title_rule(text: Column, marked: Column) -> Column:
+    """struct(level, rule) by the numbering rules, the weak ones only for blocks that the parser marked as titles; null if none fits."""
+    found = F
+    for name, pattern, fixed in TITLES:
+        dots = F.regexp_extract(text, pattern, 1)
+        level = F.lit(fixed) if fixed else F.least(F.lit(6), F.length(dots) - F.length(F.replace(dots, F.lit("."), F.lit(""))) + 1)
+        found = found.when(text.rlike(pattern), F.struct(level.cast("int").alias("level"), F.lit(name).alias("rule")))
+    for name, pattern, fixed in WEAK_TITLES:
+        found = found.when(marked & text.rlike(pattern), F.struct(F.lit(fixed).alias("level"), F.lit(name).alias("rule")))
+    return found
+
 
+def _open_to_titles(text: Column) -> Column:
+    return (text != "") & (F.length(text) <= 100) & ~F.col("block_type").isin(UNTITLED) & ~text.rlike(CAPTION) & ~text.rlike(SENTENCE_ENDS)
 
-def title_level(text: Column, marked: Column) -> Column:
-    """Level by the numbering rules, the weak ones only for blocks that the parser marked as titles; null if none fits."""
-    level = F
-    for pattern, fixed in TITLES:
-        dots = F.regexp_extract(text, pattern, 1) if fixed is None else None
-        level = level.when(text.rlike(pattern), F.least(F.lit(6), F.length(dots) - F.length(F.replace(dots, F.lit("."), F.lit(""))) + 1) if fixed is None else F.lit(fixed))
-    for pattern, fixed in WEAK_TITLES:
-        level = level.when(marked & text.rlike(pattern), F.lit(fixed))
-    return level
+
+def _only_reference(text: Column) -> Column:
+    return text.rlike(REFERENCE) & (F.length(text) < 8) & ~text.rlike(HEADING)
 
 
 def titles(blocks: DataFrame) -> DataFrame:
-    """Adds level: null for special blocks, long texts, captions and texts that end a sentence."""
-    text = strip(F.col("text"))
-    open_to = (text != "") & (F.length(text) <= 100) & ~F.col("block_type").isin(SPECIAL) & ~text.rlike(CAPTION) & ~text.rlike(ENDS)
-    return blocks.withColumn("level", F.when(open_to, title_level(text, F.col("block_type") == "title")))
+    """Adds level: null for lists, notes, references, long texts, captions and texts that end a sentence."""
+    text, marked = strip(F.col("text")), F.col("block_type") == "title"
+    return blocks.withColumn("level", F.when(_open_to_titles(text) & (marked | ~_only_reference(text)), title_rule(text, marked)["level"]))
+
+
+def classified(blocks: DataFrame) -> DataFrame:
+    """Texts with a clear number become titles; levels follow the number, else a parser's level from 1 to 6 stays."""
+    text, marked = strip(F.col("text")), F.col("block_type") == "title"
+    rows = blocks.withColumn("open", ~F.col("excluded") & _open_to_titles(text)).withColumn("found", F.when(F.col("open"), title_rule(text, marked)))
+    promote = ~marked & F.col("found").isNotNull() & ~_only_reference(text)
+    rows = rows.withColumn("promote", promote).withColumn("operations", _operation(F.col("promote"), "promote_title", F.col("found.rule")))
+    takes = F.col("found").isNotNull() & (marked | F.col("promote"))
+    rows = rows.withColumn("takes", takes).withColumn("operations", _operation(F.col("takes") & ~F.col("title_level").eqNullSafe(F.col("found.level")), "assign_title_level", F.col("found.rule")))
+    unsure = F.col("open") & marked & F.col("found").isNull() & ~F.coalesce(F.col("title_level").between(1, 6), F.lit(False))
+    level = F.when(F.col("takes"), F.col("found.level")).when(unsure, F.lit(None)).otherwise(F.col("title_level"))
+    return rows.withColumns({"title_level": level.cast("int"), "block_type": F.when(F.col("promote"), "title").otherwise(F.col("block_type"))}).drop("open", "found", "promote", "takes")
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:
@@ -75,29 +189,127 @@ def section_paths(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("section_path", F.slice(F.array(*entries), F.lit(1), F.greatest(F.col("depth"), F.lit(0)))).drop("k", "low")
 
 
-def merged_text(left: Column, right: Column) -> Column:
-    """The joined text of two paragraphs where the second surely goes on from the first, else null."""
+def sections(blocks: DataFrame) -> DataFrame:
+    """Adds section_path and level_gap, and sets the level of each title to its place in the path.
+
+    Excluded blocks and text have the path that is open; a title without a level stands on top of it and does not change it.
+    A level that skips one is a gap, and becomes the next one.
+    """
+    counts = ~F.col("excluded") & (F.col("block_type") == "title")
+    rows = section_paths(blocks.withColumn("level", F.when(counts, F.col("title_level"))))
+    loose = counts & F.col("title_level").isNull()
+    gap = F.coalesce(F.col("level") > F.col("depth"), F.lit(False))
+    return rows.withColumns({"section_path": F.when(loose, F.concat("section_path", F.array("text"))).otherwise(F.col("section_path")), "level_gap": gap, "title_level": F.when(F.col("level").isNotNull(), F.col("depth")).otherwise(F.col("title_level"))}).drop("level", "depth")
+
+
+def merge_rule(left: Column, right: Column) -> Column:
+    """struct(text, rule) of two paragraphs where the second surely goes on from the first, else null."""
     a, b = F.rtrim(left), F.ltrim(right)
     apart = (a == "") | (b == "") | a.rlike(ENDS) | b.rlike(HEADING) | ((F.length(b) <= 12) & b.rlike(ENDS))
     cjk = (a.rlike(r"[\x{3400}-\x{9fff}]$") | a.rlike("[，、]$")) & b.rlike(r"^[\x{3400}-\x{9fff}]") & (a.rlike("[，、]$") | b.rlike(CONTINUES))
-    return F.when(apart, F.lit(None)).when(a.rlike("[A-Za-z]-$") & b.rlike("^[A-Za-z]"), F.concat(F.expr("''"), F.substring(a, F.lit(1), F.length(a) - 1), b)).when(a.rlike("[A-Za-z]$") & b.rlike("^[a-z]"), F.concat_ws(" ", a, b)).when(cjk, F.concat(a, b))
+    pair = lambda text, rule: F.struct(text.alias("text"), F.lit(rule).alias("rule"))
+    return (
+        F.when(apart, F.lit(None))
+        .when(a.rlike("[A-Za-z]-$") & b.rlike("^[A-Za-z]"), pair(F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b), "english_hyphenated_word"))
+        .when(a.rlike("[A-Za-z]$") & b.rlike("^[a-z]"), pair(F.concat_ws(" ", a, b), "english_lowercase_continuation"))
+        .when(cjk, pair(F.concat(a, b), "chinese_conservative_continuation"))
+    )
 
 
 def cross_page_merges(blocks: DataFrame) -> DataFrame:
-    """document_id, page, left_seq, right_seq, text of the pairs that are merged over a page break.
+    """document_id, page, left_seq, right_seq, text, rule of the paragraphs that are merged over a page break.
 
-    A block serves once, which matters only on pages of one block: chains of mergeable pairs through such pages take every
-    other pair, beginning with the first.
+    The last block of a page that is not excluded and the first one of the next page are held against each other.  A block
+    serves once, which matters only on pages of one block: chains of mergeable pairs through such pages take every other
+    pair, beginning with the first.
     """
-    ends = blocks.groupBy("document_id", "page").agg(F.max_by("block_seq", "block_seq").alias("last_seq"), F.max_by("text", "block_seq").alias("last_text"), F.min("block_seq").alias("first_seq"), F.min_by("text", "block_seq").alias("first_text"), F.count("*").alias("n"))
+    have = set(blocks.columns)
+    page = F.col("page_start") if "page_start" in have else F.col("page")
+    rows = blocks.where(~F.col("excluded")) if "excluded" in have else blocks
+    kind = F.col("block_type") if "block_type" in have else F.lit("text")
+    block = F.struct("block_seq", "text", (kind.isin(PARAGRAPHS) & (strip(F.col("text")) != "")).alias("paragraph"))
+    ends = rows.groupBy("document_id", page.alias("page")).agg(F.max_by(block, "block_seq").alias("last"), F.min_by(block, "block_seq").alias("first"), F.count("*").alias("n"))
     by_page = Window.partitionBy("document_id").orderBy("page")
-    after = lambda c: F.when(F.lead("page").over(by_page) == F.col("page") + 1, F.lead(c).over(by_page))
-    pairs = ends.withColumn("right_seq", after("first_seq")).withColumn("joined", merged_text(F.col("last_text"), after("first_text")))
+    after = F.when(F.lead("page").over(by_page) == F.col("page") + 1, F.lead("first").over(by_page))
+    pairs = ends.withColumn("next", after).withColumn("joined", F.when(F.col("last.paragraph") & F.col("next.paragraph"), merge_rule(F.col("last.text"), F.col("next.text"))))
     chained = (F.lag("joined").over(by_page).isNotNull()) & (F.lag("page").over(by_page) == F.col("page") - 1) & (F.col("n") == 1)
     marked = pairs.withColumn("start", F.when(F.col("joined").isNotNull() & F.coalesce(chained, F.lit(False)), 0).otherwise(1))
     chains = marked.withColumn("chain", F.sum("start").over(by_page))
     place = F.row_number().over(Window.partitionBy("document_id", "chain").orderBy("page"))
-    return chains.withColumn("place", place).where("joined is not null and place % 2 = 1").select("document_id", "page", F.col("last_seq").alias("left_seq"), "right_seq", F.col("joined").alias("text"))
+    return chains.withColumn("place", place).where("joined is not null and place % 2 = 1").select("document_id", "page", F.col("last.block_seq").alias("left_seq"), F.col("next.block_seq").alias("right_seq"), "joined.text", "joined.rule")
+
+
+def merged(blocks: DataFrame) -> DataFrame:
+    """The merged text stands at its first half, with the ids and pages of both; the second half is gone."""
+    pairs = cross_page_merges(blocks)
+    right = blocks.select("document_id", F.col("block_seq").alias("right_seq"), F.struct("source_block_ids", "page_end").alias("second"))
+    left = pairs.join(right, ["document_id", "right_seq"]).select("document_id", F.col("left_seq").alias("block_seq"), F.struct("text", "rule", "second").alias("join"))
+    gone = pairs.select("document_id", F.col("right_seq").alias("block_seq"), F.lit(True).alias("gone"))
+    rows = blocks.join(left, ["document_id", "block_seq"], "left").join(gone, ["document_id", "block_seq"], "left").where("gone is null").drop("gone")
+    is_pair, ids = F.col("join").isNotNull(), F.array_distinct(F.concat("source_block_ids", "join.second.source_block_ids"))
+    merged_id = F.concat(F.lit("merged_"), F.left(F.sha2(F.array_join(ids, "\u0000"), 256), F.lit(20)))
+    new = {
+        "operations": _operation(is_pair, "cross_page_paragraph_merge", F.col("join.rule")),
+        "text": F.when(is_pair, F.col("join.text")).otherwise(F.col("text")),
+        "block_id": F.when(is_pair, merged_id).otherwise(F.col("block_id")),
+        "source_block_ids": F.when(is_pair, ids).otherwise(F.col("source_block_ids")),
+        "page_end": F.when(is_pair, F.col("join.second.page_end")).otherwise(F.col("page_end")),
+    }
+    return rows.withColumns(new).drop("join")
+
+
+def violations(before: DataFrame, after: DataFrame) -> DataFrame:
+    """document_id and the first rule that its cleaned blocks break; no row for a sound document.
+
+    Ids are unique, every block is traced to the blocks it came from and none is lost, pages and levels are in range, merges
+    span one page break, and the number of objects, notes and references is unchanged.
+    """
+    kinds = [F.count_if(F.col("block_type") == k).alias(f"n_{k}") for k in PRESERVED]
+    old = before.groupBy("document_id").agg(F.array_sort(F.collect_set("block_id")).alias("ids"), *kinds)
+    span = F.exists("operations", lambda o: o["op"] == "cross_page_paragraph_merge")
+    bad = {
+        "page range": (F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start")),
+        "title level": ~F.coalesce(F.col("title_level").between(1, 6), F.lit(True)),
+        "merge span": span & (F.col("page_end") != F.col("page_start") + 1),
+    }
+    flags = [F.max(c).alias(name.replace(" ", "_")) for name, c in bad.items()]
+    new = after.groupBy("document_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_block_ids")))).alias("traced"), (F.count("block_id") != F.countDistinct("block_id")).alias("repeated"), *flags, *(F.count_if(F.col("block_type") == k).alias(f"new_{k}") for k in PRESERVED))
+    both = old.join(new, "document_id", "left")
+    changed = reduce(lambda x, y: x | y, [~F.col(f"n_{k}").eqNullSafe(F.col(f"new_{k}")) for k in PRESERVED])
+    reason = F.when(F.coalesce("repeated", F.lit(True)), "repeated block id").when(F.col("ids") != F.col("traced"), "trace")
+    for name in bad:
+        reason = reason.when(F.col(name.replace(" ", "_")), name)
+    return both.select("document_id", reason.when(changed, "preserved types").alias("reason")).where("reason is not null")
+
+
+def cleaned(blocks: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Cleaned blocks, and one audit row for each document: counters, warnings, and whether it fell back to its own blocks.
+
+    A document whose cleaned blocks break a rule of ``violations`` comes back as it was, with fail_open set and no counts.
+    Null texts count as empty; documents do not see each other; an empty table gives two empty tables.
+    """
+    raw = prepared(blocks)
+    done = sections(merged(classified(without_margins(normalized_blocks(raw), config))))
+    broken = violations(raw, done)
+    sound = done.join(broken, "document_id", "left_anti")
+    columns = [c for c in done.columns if c not in ("section_path", "level_gap")]
+    plain = raw.join(broken.select("document_id"), "document_id", "left_semi").select(*columns, F.array().cast("array<string>").alias("section_path"), F.lit(False).alias("level_gap"))
+
+    def times(op: str, rule: str | None = None) -> Column:
+        is_it = lambda o: (o["op"] == op) & (F.lit(True) if rule is None else o["rule"] == rule)
+        return F.sum(F.size(F.filter("operations", is_it)))
+
+    counted = [times(op).alias(name) for op, name in COUNTERS.items()]
+    margins = [times("exclude_repeated_margin", rule).alias(name) for rule, name in MARGIN_COUNTERS.items()]
+    unknown = F.when(~F.col("block_type").isin([*KNOWN]), F.concat(F.lit("unknown_block_type "), "block_id"))
+    gaps = F.when(F.col("level_gap"), F.concat(F.lit("title_level_gap "), "block_id"))
+    per_doc = sound.groupBy("document_id").agg(F.count("*").alias("output_blocks"), *counted, *margins, F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(unknown, gaps))))).alias("warnings"))
+    inputs = raw.groupBy("document_id").agg(F.count("*").alias("input_blocks"))
+    audit = inputs.join(per_doc, "document_id", "left").join(broken, "document_id", "left")
+    names = ["output_blocks", *COUNTERS.values(), *MARGIN_COUNTERS.values()]
+    fallen = F.col("reason").isNotNull()
+    audit = audit.select("document_id", "input_blocks", *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names), F.when(fallen, F.array(F.concat(F.lit("postprocess_failed "), "reason"))).otherwise(F.col("warnings")).alias("warnings"), fallen.alias("fail_open"))
+    return sound.select(*columns, "section_path", "level_gap").union(plain), audit
 
 
 def bbox_position(y0: Column, y1: Column, height: Column) -> Column:
@@ -107,6 +319,12 @@ def bbox_position(y0: Column, y1: Column, height: Column) -> Column:
     return F.when(top.isNull() | end.isNull(), F.lit(None)).when(end <= 0.20, "header").when(top >= 0.80, "footer").otherwise("body")
 
 
+def type_counts(blocks: DataFrame) -> DataFrame:
+    """document_id and a map of block types to their number of blocks."""
+    n = blocks.groupBy("document_id", "block_type").agg(F.count("*").alias("n"))
+    return n.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("block_type", "n")))).alias("block_types"))
+
+
 def page_stats(blocks: DataFrame) -> DataFrame:
     """document_id, pages, text_pages, empty_pages, characters of all blocks."""
     pages = blocks.groupBy("document_id", "page").agg(F.max((strip(F.col("text")) != "").cast("int")).alias("filled"), F.sum(F.length("text")).alias("characters"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from docsift.config import DEFAULT
 from docsift.functions import text as T
 from docsift.operators import answers, chunking, cleaning, evaluation, history, reconcile, retrieval
+from docsift.sources.scratch import spread
 from docsift.streaming import ingest
 
-TOKEN_SQL = r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*(?:%|\x{FF05})?|[\x{3400}-\x{9fff}]+"
+TOKEN_SQL = r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*(?:%|％)?|[\x{3400}-\x{9fff}]+"
 
 
 class Tables:
@@ -20,7 +22,12 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+
+    @cached_property
+    def postings(self) -> retrieval.Postings:
+        """The items' terms in all documents, which every ranking of one query reads."""
+        return retrieval.Postings(self.docs(), self.items(), "doc_id", "item_id")
 
     def items(self) -> DataFrame:
         return self.benchmark.select("item_id", "text")
@@ -35,18 +42,19 @@ class Tables:
         return rows.withColumns({"page": F.floor(F.col("block_seq") / 5).cast("int") + 1, "block_type": F.lit("text"), "level": level.cast("int"), "atomic": F.lit(False), "excluded": F.lit(False)})
 
     def bm25(self, k: int = DEFAULT.bm25_top_k) -> DataFrame:
-        return retrieval.bm25_topk(self.docs(), self.items(), "doc_id", "item_id", k=k)
+        return self.postings.bm25_topk(k)
 
     def gold(self) -> DataFrame:
         return retrieval.containing(self.docs(), self.items(), "doc_id", "item_id")
 
     def fused(self) -> DataFrame:
-        routes = {"bm25": self.bm25(), "overlap": retrieval.overlap_topk(self.docs(), self.items(), "doc_id", "item_id", DEFAULT.bm25_top_k)}
+        routes = {"bm25": self.bm25(), "overlap": self.postings.overlap_topk(DEFAULT.bm25_top_k)}
         return retrieval.reciprocal_rank_fusion(routes, "item_id", "doc_id")
 
     def reranked(self) -> DataFrame:
         hits = self.fused().join(self.docs(), "doc_id").join(self.items().select("item_id", F.col("text").alias("question")), "item_id")
-        return retrieval.rerank(hits, "item_id", "doc_id", retrieval.overlap_logit(F.col("question"), F.col("text"))).select("item_id", "doc_id", "logit", "score", "rerank_rank")
+        top = retrieval.rerank(hits, "item_id", "doc_id", retrieval.overlap_logit(F.col("question"), F.col("text")))
+        return top.select("item_id", "doc_id", "logit", "score", "rerank_rank")
 
     def gate(self) -> DataFrame:
         return retrieval.evidence_gate(self.items(), self.reranked(), "item_id", 0.8)
@@ -88,6 +96,15 @@ def oracle_sql() -> dict[str, str]:
 
 
 # SQL that several queries share.
+def _twice(text: str, pattern: str) -> str:
+    """Replaces twice, since neighbours share the character between them."""
+    for _ in range(2):
+        text = f"regexp_replace({text}, '{pattern}', '\\1<PAGE>\\2', 'g')"
+    return text
+
+
+_PLAIN = r"lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g'))"
+_KEY = _twice(_twice(_PLAIN, "(^|[^A-Za-z])[ivxlcdm]+([^A-Za-z]|$)"), "(^|[^A-Za-z0-9])[0-9]+([^A-Za-z0-9]|$)")
 _TOK = f"""tok AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '{TOKEN_SQL}'), lambda x: lower(x))) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_id, len(regexp_extract_all(text, '{TOKEN_SQL}')) AS dl FROM documents),
@@ -149,7 +166,7 @@ def dense_topk(t: Tables) -> DataFrame:
 
 @query(f"WITH {_TOK}, {_FUSED} SELECT item_id, doc_id, fusion_score, best_rank, bm25_rank, overlap_rank, fusion_rank FROM fused")
 def rrf_fusion(t: Tables) -> DataFrame:
-    return t.fused()
+    return t.fused().drop("bm25_score", "overlap_score")
 
 
 @query(f"WITH {_TOK}, {_FUSED}, {_RERANK} SELECT item_id, doc_id, logit, score, rerank_rank FROM rr")
@@ -159,7 +176,7 @@ def rerank_topk(t: Tables) -> DataFrame:
 
 @query(f"WITH {_TOK}, {_FUSED}, {_RERANK} SELECT item_id, status, status = 'answerable' AS answerable FROM gate")
 def evidence_gate(t: Tables) -> DataFrame:
-    return t.gate()
+    return t.gate().drop("reason")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -213,18 +230,23 @@ def normalize_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.normalized(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"WITH {_LINES} SELECT document_id, block_seq, {_KEY} AS key FROM bl")
 def repeat_key(t: Tables) -> DataFrame:
     return t.blocks().select("document_id", "block_seq", T.repeat_key(F.col("text")).alias("key"))
 
 
-@query()
+@query(f"""WITH {_LINES}, c AS (SELECT *, row_number() OVER w AS top, count(*) OVER (PARTITION BY document_id, page) AS n FROM bl WINDOW w AS (PARTITION BY document_id, page ORDER BY block_seq)),
+pc AS (SELECT document_id, count(DISTINCT page) AS pages FROM bl GROUP BY document_id),
+k AS (SELECT document_id, page, CASE WHEN top <= 2 THEN 'header' WHEN top > n - 2 THEN 'footer' END AS position, {_KEY} AS key FROM c WHERE regexp_matches(text, '\\S')),
+h AS (SELECT document_id, position, key, count(DISTINCT page) AS hits FROM k WHERE position IS NOT NULL GROUP BY ALL)
+SELECT document_id, position, key, hits, pages FROM h JOIN pc USING (document_id) WHERE pages >= 3 AND (hits >= 3 OR hits / pages >= 0.6)""")
 def repeated_margins(t: Tables) -> DataFrame:
-    return cleaning.repeated_margins(t.blocks().select(F.col("document_id"), "page", "block_seq", "text"))
+    return cleaning.repeated_margins(t.blocks().select("document_id", "page", "block_seq", "text"))
 
 
-@query(f"""WITH {_LINES} SELECT document_id, block_seq, CASE WHEN length(trim(text)) = 0 OR length(text) > 100 OR regexp_matches(text, '(?i)^(?:图|表|Figure|Table)\\s*[A-Za-z0-9一二三四五六七八九十.-]+') OR regexp_matches(text, '[。！？.!?；;：:]$') THEN NULL
-WHEN regexp_matches(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}(?:[.、])?\\s+\\S.+$') THEN least(6, 1 + length(regexp_extract(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}')) - length(replace(regexp_extract(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}'), '.', ''))) END AS level FROM bl""")
+@query(f"""WITH {_LINES}, s AS (SELECT document_id, block_seq, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM bl), n AS (SELECT *, regexp_extract(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}') AS number FROM s)
+SELECT document_id, block_seq, CASE WHEN length(text) = 0 OR length(text) > 100 OR regexp_matches(text, '(?i)^(?:图|表|Figure|Table)\\s*[A-Za-z0-9一二三四五六七八九十.-]+') OR regexp_matches(text, '[。.！!？?]$') THEN NULL
+WHEN regexp_matches(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}(?:[.、])?\\s+\\S.+$') OR regexp_matches(text, '^[0-9]+(?:\\.[0-9]+){{0,5}}[.、][A-Z\\x{{3400}}-\\x{{9fff}}]\\S*$') THEN least(6, 1 + length(number) - length(replace(number, '.', ''))) END AS level FROM n""")
 def title_levels(t: Tables) -> DataFrame:
     return cleaning.titles(t.blocks().drop("level")).select("document_id", "block_seq", "level")
 
@@ -237,9 +259,17 @@ def section_paths(t: Tables) -> DataFrame:
     return cleaning.section_paths(t.blocks()).select("document_id", "block_seq", "depth", F.array_join("section_path", " > ").alias("path"))
 
 
-@query()
+@query(f"""WITH {_LINES}, l AS (SELECT document_id, block_seq, page, regexp_replace(lower(text), '[.!?;:]+$', '') AS text FROM bl),
+e AS (SELECT document_id, page, count(*) AS n, max(block_seq) AS last_seq, arg_max(text, block_seq) AS last_text, min(block_seq) AS first_seq, arg_min(text, block_seq) AS first_text FROM l GROUP BY document_id, page),
+x AS (SELECT *, CASE WHEN lead(page) OVER w = page + 1 THEN lead(first_seq) OVER w END AS right_seq, rtrim(last_text, ' ') AS a, CASE WHEN lead(page) OVER w = page + 1 THEN ltrim(lead(first_text) OVER w, ' ') END AS b FROM e WINDOW w AS (PARTITION BY document_id ORDER BY page)),
+j AS (SELECT *, CASE WHEN b IS NULL OR NOT regexp_matches(a, '\\S') OR NOT regexp_matches(b, '\\S') OR regexp_matches(a, '[.!?;:]$') OR regexp_matches(b, '^(?:[0-9]+(?:\\.[0-9]+)*[.、]?\\s+|[0-9]+(?:\\.[0-9]+)*[.、][A-Z]|[（(][0-9]+[）)]|[0-9]+[）)])') OR length(b) <= 12 AND regexp_matches(b, '[.!?;:]$') THEN NULL
+  WHEN regexp_matches(a, '[A-Za-z]-$') AND regexp_matches(b, '^[A-Za-z]') THEN left(a, -1) || b WHEN regexp_matches(a, '[A-Za-z]$') AND regexp_matches(b, '^[a-z]') THEN a || ' ' || b END AS text FROM x),
+k AS (SELECT *, CASE WHEN text IS NOT NULL AND lag(text) OVER w IS NOT NULL AND lag(page) OVER w = page - 1 AND n = 1 THEN 0 ELSE 1 END AS start FROM j WINDOW w AS (PARTITION BY document_id ORDER BY page)),
+c AS (SELECT *, sum(start) OVER (PARTITION BY document_id ORDER BY page) AS chain FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY document_id, chain ORDER BY page) AS place FROM c)
+SELECT document_id, page, last_seq AS left_seq, right_seq, text, CASE WHEN regexp_matches(a, '-$') THEN 'english_hyphenated_word' ELSE 'english_lowercase_continuation' END AS rule FROM p WHERE text IS NOT NULL AND place % 2 = 1""")
 def cross_page_merge(t: Tables) -> DataFrame:
-    return cleaning.cross_page_merges(t.blocks())
+    """Lines in lower case and without an end of sentence, so that many go on over a page."""
+    return cleaning.cross_page_merges(t.blocks().withColumn("text", F.regexp_replace(F.lower("text"), "[.!?;:]+$", "")))
 
 
 @query("""WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -258,9 +288,42 @@ def chunk_report(t: Tables) -> DataFrame:
     return chunking.chunk_report(t.chunks())
 
 
-@query("SELECT count(*) AS documents, count(*) AS complete FROM documents WHERE length(trim(replace(text, chr(10), ''))) > 0")
+@query(f"""WITH {_LINES} SELECT document_id, count(*) AS chunks, min(length(text)) AS shortest, quantile_disc(length(text), 0.5) AS p50, quantile_disc(length(text), 0.95) AS p95, max(length(text)) AS longest, count(*) FILTER (length(text) < 800) AS below_minimum,
+count(*) FILTER (length(text) < 800 AND block_seq % 7 = 0) AS short_at_boundary, count(*) FILTER (length(text) < 800 AND block_seq % 7 <> 0) AS short_at_section_end, count(*) FILTER (length(text) > 1500) AS above_hard,
+coalesce(array_to_string(list_distinct(list(CASE WHEN block_seq % 7 = 0 THEN 'table' ELSE 'text' END ORDER BY block_seq) FILTER (length(text) > 1500)), ','), '') AS above_hard_types, count(*) FILTER (block_seq % 7 = 0) AS table_parts, count(*) FILTER (block_seq % 7 = 3) AS unmergeable_sections FROM bl GROUP BY document_id""")
+def chunk_length_report(t: Tables) -> DataFrame:
+    """The report over lines in the place of chunks, every seventh as a table."""
+    k = F.col("block_seq") % 7
+    rows = t.blocks().withColumns({"n_chars": F.length("text"), "segment_index": F.col("block_seq"), "block_types": F.array(F.when(k == 0, "table").otherwise("text")), "region_end": F.when(k == 3, "x")})
+    return chunking.chunk_report(rows)
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT *, regexp_matches(text, '\\S') AS seen, block_seq // 3 AS path FROM bl), o AS (SELECT *, lag(path) OVER (PARTITION BY document_id ORDER BY block_seq) AS before FROM v WHERE seen),
+n AS (SELECT document_id, count(*) FILTER (before IS NULL OR before <> path) AS continuous_sections FROM o GROUP BY document_id)
+SELECT document_id, count(*) AS original_blocks, count(*) FILTER (seen) AS retrieval_blocks, count(*) FILTER (block_seq % 7 = 1) AS formula_blocks, count(*) FILTER (block_seq % 7 = 0) AS table_blocks, coalesce(any_value(continuous_sections), 0) AS continuous_sections FROM v LEFT JOIN n USING (document_id) GROUP BY document_id""")
+def block_report(t: Tables) -> DataFrame:
+    """Lines as blocks of several types, three to a section."""
+    k = F.col("block_seq") % 7
+    rows = t.blocks().withColumns({"block_type": F.when(k == 0, "table").when(k == 1, "formula").otherwise("text"), "section_path": F.array(F.floor(F.col("block_seq") / 3).cast("string"))})
+    return chunking.block_report(rows)
+
+
+@query("SELECT count(*) AS documents, count(*) AS complete, 0 AS missing FROM documents WHERE length(trim(replace(text, chr(10), ''))) > 0")
 def chunk_integrity(t: Tables) -> DataFrame:
-    return chunking.integrity(t.blocks().withColumn("document_id", F.col("document_id").cast("string")), t.chunks()).agg(F.count("*").alias("documents"), F.count_if("complete").alias("complete"))
+    rows = chunking.integrity(t.blocks(), t.chunks())
+    return rows.agg(F.count("*").alias("documents"), F.count_if("complete").alias("complete"), F.coalesce(F.sum(F.size("missing")), F.lit(0)).alias("missing"))
+
+
+@query()
+def clean_blocks(t: Tables) -> DataFrame:
+    """Cleaned lines of documents: margins out, titles with levels and paths, paragraphs merged over pages."""
+    done, _ = cleaning.cleaned(t.blocks().drop("level", "atomic"))
+    return done.select("document_id", "block_seq", "block_id", "text", "block_type", "page_start", "page_end", "title_level", "excluded", "excluded_reason", F.array_join("section_path", " > ").alias("path"))
+
+
+@query()
+def clean_audit(t: Tables) -> DataFrame:
+    return cleaning.cleaned(t.blocks().drop("level", "atomic"))[1]
 
 
 @query(f"WITH {_TOK}, p AS (SELECT item_id, rank, doc_id, sum(length('[' || rank || '] ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) OVER (PARTITION BY item_id ORDER BY rank)::BIGINT AS used_chars FROM bm JOIN documents USING (doc_id)) SELECT *, used_chars <= 4000 AS sent FROM p")
@@ -269,12 +332,14 @@ def prompt_prefix(t: Tables) -> DataFrame:
     return answers.prompt_prefix(hits, "item_id", budget=DEFAULT.prompt_chars).select("item_id", "rank", "doc_id", "used_chars", "sent")
 
 
-@query("""SELECT conv_id, turn, regexp_replace(text || CASE WHEN turn BETWEEN 1 AND 3 THEN '[' || turn || ']' ELSE '' END || CASE WHEN turn + 3 <= 3 THEN '[' || (turn + 3) || ']' ELSE '' END, '^\\s+|\\s+$', '', 'g') AS answer,
-CASE WHEN turn BETWEEN 1 AND 3 THEN turn::VARCHAR WHEN turn = 0 THEN '3' ELSE '' END AS cited, (CASE WHEN turn BETWEEN 1 AND 3 THEN 0 ELSE 1 END + CASE WHEN turn + 3 <= 3 THEN 0 ELSE 1 END)::INT AS invalid FROM conversations WHERE text NOT LIKE '%[%'""".replace("\\\\s", "\\s"))
+@query(r"""WITH a AS (SELECT conv_id, turn, text || '[' || turn || '][' || (turn + 3) || ']' AS answer FROM conversations), n AS (SELECT *, regexp_extract_all(answer, '\[([0-9]+)\]', 1) AS numbers FROM a),
+w AS (SELECT *, list_distinct(list_filter(numbers, lambda x: x NOT IN ('1', '2', '3'))) AS wrong FROM n)
+SELECT conv_id, turn, regexp_replace(list_reduce(list_prepend(answer, wrong), lambda acc, x: replace(acc, '[' || x || ']', '')), '^\s+|\s+$', '', 'g') AS answer, array_to_string(list_filter(['1', '2', '3'], lambda x: list_contains(numbers, x)), ',') AS cited,
+len(list_filter(numbers, lambda x: x NOT IN ('1', '2', '3')))::INT AS invalid FROM w""")
 def citation_finalize(t: Tables) -> DataFrame:
     answer = F.concat("text", F.lit("["), F.col("turn").cast("string"), F.lit("]["), (F.col("turn") + 3).cast("string"), F.lit("]"))
     done = answers.finalized(answer, F.array(F.lit(1), F.lit(2), F.lit(3)))
-    return t.conversations.where("text not like '%[%'").select("conv_id", "turn", done.alias("a")).select("conv_id", "turn", "a.answer", F.array_join("a.cited", ",").alias("cited"), "a.invalid")
+    return t.conversations.select("conv_id", "turn", done.alias("a")).select("conv_id", "turn", "a.answer", F.array_join("a.cited", ",").alias("cited"), "a.invalid")
 
 
 @query(f"WITH {_LINES} SELECT x.document_id, x.block_seq AS segment_index, y.block_seq AS neighbour_index, y.text AS neighbour_text FROM bl x JOIN bl y ON x.document_id = y.document_id AND abs(x.block_seq - y.block_seq) = 1")

@@ -24,15 +24,22 @@ def test_repeat_key(spark):
 
 def test_margins(spark):
     rows = [("d", p, 3 * p + k, t) for p in range(1, 6) for k, t in enumerate(("RAG 学习报告", f"第 {p} 页正文。", f"- {p} -"))]
+    boxed = [(*r, "text", [0.0, 0.4, 1.0, 0.5] if r[2] % 3 == 0 else None, None) for r in rows]
+    boxed = spark.createDataFrame(boxed, "document_id string, page int, block_seq int, text string, block_type string, bbox array<double>, page_height double")
+    # A box in the middle of the page is no margin, whatever the order.
+    assert "rag 学习报告" not in {r.key for r in cleaning.repeated_margins(boxed).collect()}
     got = {(r.position, r.key, r.hits) for r in cleaning.repeated_margins(spark.createDataFrame(rows, "document_id string, page int, block_seq int, text string")).collect()}
     assert ("header", "rag 学习报告", 5) in got
     assert ("footer", "- <PAGE> -", 5) in got
 
 
 def test_titles(spark):
-    texts = ["1.RAG技术", "1.2 检索增强", "1.2.1 查询重写", "正文内容。", "第一章 基础", "第一节 检索", "一、总体方案", "（一）实现细节"]
+    texts = ["1.RAG技术", "1.2 检索增强", "1.2.1 查询重写", "正文内容。", "第一章 基础", "第一节 检索", "一、总体方案", "（一）实现细节", "第一章 基础：", "1　检索", "（1）弱编号"]
     df = spark.createDataFrame([(k, t, "text") for k, t in enumerate(texts)], "n int, text string, block_type string")
-    assert [r.level for r in cleaning.titles(df).orderBy("n").collect()] == [1, 2, 3, None, 1, 2, 1, 2]
+    assert [r.level for r in cleaning.titles(df).orderBy("n").collect()] == [1, 2, 3, None, 1, 2, 1, 2, 1, 1, None]
+    kinds = ["header", "footnote", "title", "list"]
+    df = spark.createDataFrame([(k, "（1）弱编号" if t == "title" else "第一章 基础", t) for k, t in enumerate(kinds)], "n int, text string, block_type string")
+    assert [r.level for r in cleaning.titles(df).orderBy("n").collect()] == [1, None, 3, None]
 
 
 def test_section_paths_equal_a_stack(spark):
@@ -74,17 +81,17 @@ def test_cross_page_merges_equal_a_loop(spark):
                 used |= {left, right}
                 want.add((str(d), p, left, right, merged(flat[left], flat[right])))
     df = spark.createDataFrame(rows, "document_id string, page int, block_seq int, text string")
-    assert {tuple(r) for r in cleaning.cross_page_merges(df).collect()} == want
+    assert {tuple(r)[:5] for r in cleaning.cross_page_merges(df).collect()} == want
 
 
 def test_merge_texts(spark):
     pairs = [("retriev-", "al improves quality", "retrieval improves quality"), ("Retrieval uses dense", "and sparse signals", "Retrieval uses dense and sparse signals"), ("该方法同时使用稠密检索，", "并结合稀疏召回提高效果", "该方法同时使用稠密检索，并结合稀疏召回提高效果"), ("Complete sentence.", "next begins lower", None)]
     df = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
-    assert [r[0] for r in df.select(cleaning.merged_text(F.col("a"), F.col("b"))).collect()] == [w for *_, w in pairs]
+    assert [r[0] for r in df.select(cleaning.merge_rule(F.col("a"), F.col("b"))["text"]).collect()] == [w for *_, w in pairs]
 
 
-def block(k, text, path=("章",), kind="text", atomic=False):
-    return {"seq": k, "text": text, "type": kind, "path": list(path), "atomic": atomic}
+def block(k, text, path=("章",), kind="text", atomic=False, page=1):
+    return {"block_seq": k, "text": text, "block_type": kind, "section_path": list(path), "atomic": atomic, "block_id": str(k), "source_block_ids": None, "page_start": page, "page_end": None, "captions": 0}
 
 
 @pytest.mark.parametrize(
@@ -95,17 +102,49 @@ def block(k, text, path=("章",), kind="text", atomic=False):
         ([block(0, "a" * 450, ("章",)), block(1, "b" * 450, ("他",))], [[0], [1]]),
         ([block(0, "公式解释" * 40), block(1, "x" * 900, kind="equation")], [[0, 1]]),
         ([block(0, "表一", kind="table_caption"), block(1, "| a |\n| b |", kind="table")], [[0, 1]]),
+        # The target ends a region only after a join, so a section that has it already still takes a small sibling.
+        ([block(0, "a" * 1100, ("章", "1.1")), block(1, "b" * 300, ("章", "1.2"))], [[0, 1]]),
+        ([block(0, "a" * 700, ("章", "1.1")), block(1, "b" * 400, ("章", "1.2")), block(2, "c" * 100, ("章", "1.3"))], [[0, 1], [2]]),
+        # An object is never cut, a long text is.
+        ([block(0, "i" * 2000, kind="image")], [[0]]),
+        ([block(0, "附录内容", ("章", "附录 A")), block(1, "b", ("章", "附录 B"))], [[0], [1]]),
     ],
 )
 def test_chunks(blocks, ids):
-    assert [c["ids"] for c in chunking.pack(blocks)] == ids
+    assert [[int(i) for i in c["source_block_ids"]] for c in chunking.pack(blocks)] == ids
+
+
+def test_chunk_metadata():
+    made = chunking.pack([block(0, "t" * 200, ("章", "一"), page=2), block(1, "x=1", ("章", "一"), "equation", page=3), block(2, "u" * 100, ("章", "二"), page=4)])
+    assert len(made) == 1
+    c = made[0]
+    assert (c["page"], c["page_end"], c["block_types"], c["block_type"], c["atomic"]) == (2, 4, ["text", "equation"], "mixed", False)
+    assert (c["section_path"], c["section_paths"], c["region_end"]) == (["章"], [["章", "一"], ["章", "二"]], "no_compatible_sibling")
+    rows = "\n".join(["head", *(f"{k} " + "r" * 110 for k in range(30))])
+    table = chunking.pack([block(0, "标题", kind="caption"), block(1, rows, kind="table")])
+    assert [(c["table_id"], c["table_part_index"], c["table_part_count"], c["atomic"]) for c in table] == [("1", k, len(table), True) for k in range(1, len(table) + 1)]
+    assert all(c["text"].split("\n")[1:3] == ["标题", "head"] for c in table)
+    assert [c["atomic"] for c in chunking.pack([block(0, "x" * 100, kind="equation")])] == [True]
+
+
+def test_plain_splitting():
+    text = "第一句话说明问题。" * 200
+    made = chunking.pack_plain([block(0, text), block(1, "\n".join(["head", "r" * 700, "s" * 700, "t" * 2000]), kind="table")])
+    assert all(len(c["text"]) <= 800 for c in made)
+    rows = [c["text"] for c in made if c["block_type"] == "table"]
+    assert all(t.startswith("head\n") for t in rows)
+    assert "".join(t.split("\n", 1)[1] for t in rows) == "r" * 700 + "s" * 700 + "t" * 2000
+    plain = [c["text"] for c in made if c["block_type"] == "text"]
+    assert len(plain) > 2
+    # Neighbours overlap.
+    assert all(b[:9] in a for a, b in zip(plain, plain[1:], strict=False))
 
 
 def test_long_text_and_table():
     parts = chunking.pack([block(0, "一段正文。" * 400)])
     assert len(parts) > 1
     assert all(len(p["text"]) <= 1500 for p in parts)
-    table = chunking.split_table("\n".join(["head", *("r" * 110 for _ in range(30))]), 1200)
+    table = chunking.table_rows("\n".join(["head", *("r" * 110 for _ in range(30))]), 1200, 0)
     assert len(table) > 1
     assert all(p.startswith("head\n") for p in table)
     assert all(len(p) <= 80 for p in chunking.split_text("a" * 200, 80, 10))
@@ -124,8 +163,14 @@ def test_rerank_and_gate(spark):
     top = retrieval.rerank(hits, "q", "c", F.col("c").cast("double"))
     assert [r.c for r in top.orderBy("rerank_rank").collect()] == ["7", "6", "5", "4", "3"]
     queries = spark.createDataFrame([("q",), ("none",)], "q string")
-    gate = {r.q: (r.status, r.answerable) for r in retrieval.evidence_gate(queries, top, "q", None).collect()}
-    assert gate == {"q": ("threshold_not_calibrated", True), "none": ("no_candidates", False)}
+    gate = {r.q: (r.status, r.reason, r.answerable) for r in retrieval.evidence_gate(queries, top, "q", None).collect()}
+    assert gate == {"q": ("answerable", "threshold_not_calibrated", True), "none": ("no_candidates", "no_candidates", False)}
+    gate = {r.q: (r.status, r.reason, r.answerable) for r in retrieval.evidence_gate(queries, top, "q", 1.0).collect()}
+    assert gate == {"q": ("below_threshold", "below_threshold", False), "none": ("no_candidates", "no_candidates", False)}
+    blank = top.withColumn("score", F.lit(None).cast("double"))
+    assert retrieval.evidence_gate(queries, blank, "q", None).where("q = 'q'").first().answerable
+    with pytest.raises(Exception, match="no score"):
+        retrieval.evidence_gate(queries, blank, "q", 0.5).collect()
 
 
 def test_prompt_and_citations(spark):
@@ -133,7 +178,8 @@ def test_prompt_and_citations(spark):
     assert [r.sent for r in answers.prompt_prefix(hits, "q", budget=14).orderBy("rank").collect()] == [True, False]
     done = lambda a, ranks: spark.range(1).select(answers.finalized(F.lit(a), F.array(*map(F.lit, ranks))).alias("a")).select("a.*").first()
     assert tuple(done("依据[1]，误引[2]。", [1])) == ("依据[1]，误引。", ["1"], 1)
-    assert tuple(done("资料中没有找到相关内容。\n\n[1][2]", [1, 2]))[:2] == ("资料中没有找到相关内容。", [])
+    assert tuple(done("资料中没有找到相关内容。\n\n[1][2]", [1, 2])) == ("资料中没有找到相关内容。", [], 0)
+    assert tuple(done("资料中没有找到相关内容。[7]", [1, 2])) == ("资料中没有找到相关内容。", [], 0)
 
 
 def test_metrics(spark):
@@ -178,9 +224,8 @@ def test_layout_child_and_discarded_blocks(spark, tmp_path):
 
 @pytest.mark.parametrize(("kind", "title"), [("references", "B"), ("bibliography", "B"), ("text", "Appendix B"), ("text", "附录 B")])
 def test_hard_boundaries(kind, title):
-    block = lambda seq, kind, title: {"seq": seq, "text": "short", "type": kind, "path": ["Part", title], "atomic": False}
-    assert len(chunking.pack([block(0, "text", "A"), block(1, "text", "B")])) == 1
-    assert len(chunking.pack([block(0, "text", "A"), block(1, kind, title)])) == 2
+    assert len(chunking.pack([block(0, "short", ("Part", "A")), block(1, "short", ("Part", "B"))])) == 1
+    assert len(chunking.pack([block(0, "short", ("Part", "A")), block(1, "short", ("Part", title), kind)])) == 2
 
 
 def test_unsafe_members():
