@@ -1,71 +1,21 @@
-"""Shared plumbing of the training-data operators: scratch tables, column choice, Arrow helpers.
-
-Long lineages are cut by writing a table under the folder that ``spark.checkpoint.dir`` names, which every
-executor and the driver can see.  Losing an executor then costs at most the tasks that ran on it.
-"""
+"""Shared plumbing of the training-data operators: column choice and Arrow helpers; intermediate tables are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_scratch: dict[str, object] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only in local mode, where one machine does everything."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="docsift-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a checkpoint that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docsift/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    _scratch[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docsift_path = path
-    return out
-
-
-def drop_scratch(*frames: DataFrame) -> None:
-    """Remove tables that ``materialize`` wrote and that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_docsift_path", None)
-        if path and _scratch.pop(path, None) is not None:
-            _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
+from docsift.sources.scratch import drop_scratch, materialize, scratch_path, spread
 
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_scratch.items()):
-        try:
-            if spark._jsc.sc().isStopped():
-                continue
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            pass
+__all__ = ["batch_rows", "drop_scratch", "materialize", "read_table", "scratch_path", "texts"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus; one of a single small file is dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

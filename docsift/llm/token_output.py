@@ -13,7 +13,6 @@ columns other than id and text are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docsift.llm.bpe import Memo, load
-from docsift.llm.common import batch_rows, shared_dir, texts
+from docsift.llm.common import batch_rows, scratch_path, texts
 
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
@@ -95,7 +94,10 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
 
 
 def token_file_digests(docs: DataFrame, tokenizer_path: str, label: str = "token-files") -> DataFrame:
-    """Write the files to the shared folder, read them back and return what they hold of each document."""
-    path = f"{shared_dir(docs.sparkSession)}/docsift/{label}-{uuid.uuid4().hex}"
+    """Write the files to the shared folder, read them back and return what they hold of each document.
+
+    The files are removed when the driver ends; ``write_token_files`` keeps them where the caller says.
+    """
+    path = scratch_path(docs.sparkSession, label)
     write_token_files(docs, path, tokenizer_path)
     return with_checksum(read_token_files(docs.sparkSession, path))
