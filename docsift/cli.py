@@ -22,7 +22,7 @@ def _spark() -> SparkSession:
 def parse_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain-text files, their pages parted by form feeds; files of other kinds go through the optional page reader."""
     text = files.where(~F.lower("source").endswith(".pdf"))
-    rows = text.select("document_id", "source", F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\f")).alias("at", "text"))
+    rows = text.select("document_id", "source", F.posexplode(F.split(F.decode("content", "UTF-8"), "\f")).alias("at", "text"))
     own = rows.select("document_id", "source", (F.col("at") + 1).alias("page"), "text")
     other, report = readers.pages(files.where(F.lower("source").endswith(".pdf")))
     counted = own.groupBy("document_id").agg(F.lit(True).alias("ok"), F.count("*").alias("pages"), F.lit(None).cast("string").alias("error"))

@@ -21,7 +21,7 @@ from docsift.operators import retrieval
 Embedder = Callable[[pd.Series], pd.Series]
 #: Texts that an embedder gets at once.
 BATCH = 256
-_TERM = regex.compile(r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*|[\x{3400}-\x{9fff}]".replace(r"\x{3400}", "㐀").replace(r"\x{9fff}", "鿿"))
+_TERM = re.compile(r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*|[\u3400-\u9fff]")
 
 
 def hashing_embedder(dimension: int = 256) -> Embedder:
