@@ -63,12 +63,12 @@ def stable_id(*parts: Column) -> Column:
 
 def percent(value: Column) -> Column:
     """One decimal and a percent sign; blank for null."""
-    return F.coalesce(F.format_string("%.1f%%", value.cast("double") * 100), F.lit(""))
+    return F.when(value.isNotNull(), F.format_string("%.1f%%", value.cast("double") * 100)).otherwise("")
 
 
 def seconds(value: Column) -> Column:
     """Two decimals and the unit; blank for null."""
-    return F.coalesce(F.format_string("%.2fs", value.cast("double")), F.lit(""))
+    return F.when(value.isNotNull(), F.format_string("%.2fs", value.cast("double"))).otherwise("")
 
 
 def iso_time(value: Column) -> Column:

@@ -60,7 +60,7 @@ def public_hit(hit: str = "hit") -> Column:
 
 def format_context(hits: DataFrame, query: str) -> DataFrame:
     """query and its hits as one text for inspection: rank, source, page and score in a line, then the text."""
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("source", F.lit("?")), F.lit(" p."), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(" score="), F.format_string("%.4f", F.col("score").cast("double")))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("source", F.lit("?")), F.lit(" p."), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(" score="), F.when(F.col("score").isNotNull(), F.format_string("%.4f", F.col("score").cast("double"))).otherwise("?"))
     block = F.struct("rank", F.concat_ws("\n", line, strip(F.col("text"))).alias("block"))
     return hits.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]), "\n\n").alias("context"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docsift.config import DEFAULT
 from docsift.functions import text as T
-from docsift.operators import answers, chunking, cleaning, evaluation, history, reconcile, retrieval
+from docsift.operators import answers, build, chunking, cleaning, embedding, evaluation, history, reconcile, retrieval
 from docsift.sources.scratch import spread
 from docsift.streaming import ingest
 
@@ -481,3 +481,179 @@ def history_exists(t: Tables) -> DataFrame:
 def windowed_events(t: Tables) -> DataFrame:
     """Beyond the reference: the batch form of the windowed stream aggregation."""
     return ingest.windowed_counts(t.events)
+
+
+@query(f"""WITH {_LINES}, t AS (SELECT document_id, CASE WHEN block_seq % 7 = 0 THEN 'table' WHEN block_seq % 7 = 1 THEN 'title' ELSE 'text' END AS kind, count(*) AS n FROM bl GROUP BY ALL)
+SELECT document_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS types FROM t GROUP BY document_id""")
+def type_counts(t: Tables) -> DataFrame:
+    k = F.col("block_seq") % 7
+    counts = cleaning.type_counts(t.blocks().withColumn("block_type", F.when(k == 0, "table").when(k == 1, "title").otherwise("text")))
+    pairs = F.transform(F.map_entries("block_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return counts.select("document_id", F.array_join(pairs, ",").alias("types"))
+
+
+# Evaluated questions made of events: an event is a question, its kind the type, its value the seconds.
+_ITEMS = """it AS (SELECT event_id::VARCHAR AS question_id, event_type AS question_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS difficulty, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN NULL ELSE 'answered' END AS status,
+CASE WHEN event_id % 3 > 0 THEN (event_id % 2)::INT END AS hit_at_k, value AS total_seconds, CASE WHEN event_id % 4 > 0 THEN event_id % 100 END AS prompt_tokens, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS missing FROM events)"""
+
+
+def _evaluated_events(t: Tables) -> DataFrame:
+    n = F.col("event_id")
+    judge = F.struct((n % 5).cast("int").alias("correctness"), F.lit(1).alias("completeness"), F.lit(2).alias("relevance"), F.when(n % 9 > 0, "because").alias("reason"))
+    return t.events.select(
+        n.cast("string").alias("question_id"),
+        F.col("event_type").alias("question_type"),
+        F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("difficulty"),
+        F.when(n % 5 == 0, "error").when(n % 5 > 1, "answered").alias("status"),
+        F.when(n % 3 > 0, (n % 2).cast("int")).alias("hit_at_k"),
+        *(F.lit(None).cast("double").alias(c) for c in ("recall_at_k", "reciprocal_rank", *evaluation.STAGES[:-1])),
+        F.col("value").alias("total_seconds"),
+        F.when(n % 4 > 0, n % 100).alias("prompt_tokens"),
+        *(F.lit(None).cast("long").alias(c) for c in evaluation.TOKENS[1:]),
+        F.when(n % 7 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("missing_sources"),
+        F.when(n % 3 == 0, judge).alias("judge"),
+    )
+
+
+@query(f"""WITH {_ITEMS} SELECT question_type, difficulty, count(*) AS attempted, count(*) FILTER (status = 'answered') AS answered, round(avg((coalesce(status, '') = 'answered')::INT), 9) AS success_rate, count(hit_at_k) AS retrieval_evaluated, round(avg(hit_at_k), 9) AS mean_hit_at_k,
+round(avg(total_seconds), 6) AS mean_total_seconds, quantile_disc(total_seconds, 0.5) AS p50_seconds, quantile_disc(total_seconds, 0.95) AS p95_seconds, count(prompt_tokens) AS token_usage_reported, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, 0 AS completion_tokens, sum(missing)::BIGINT AS missing_target_sources
+FROM it GROUP BY GROUPING SETS ((), (question_type), (difficulty))""")
+def eval_full_summary(t: Tables) -> DataFrame:
+    rows = evaluation.full_summary(_evaluated_events(t))
+    names = ["attempted", "answered", "success_rate", "retrieval_evaluated", "mean_hit_at_k", "p50_seconds", "p95_seconds", "token_usage_reported", "prompt_tokens", "completion_tokens", "missing_target_sources"]
+    return rows.select("question_type", "difficulty", *names, F.round("mean_total_seconds", 6).alias("mean_total_seconds"))
+
+
+@query(f"WITH {_ITEMS} SELECT string_agg(s || '=' || n, ',' ORDER BY s) AS counts FROM (SELECT coalesce(status, 'unknown') AS s, count(*) AS n FROM it GROUP BY 1)")
+def status_map(t: Tables) -> DataFrame:
+    pairs = F.transform(F.map_entries("status_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return evaluation.status_counts(_evaluated_events(t)).select(F.array_join(pairs, ",").alias("counts"))
+
+
+@query(f"WITH {_ITEMS} SELECT question_id FROM it WHERE question_type = 'click' AND NOT (question_id::BIGINT % 3 = 0 AND question_id::BIGINT % 5 <= 3 AND question_id::BIGINT % 9 > 0)")
+def judge_queue(t: Tables) -> DataFrame:
+    """Questions of one type that have no complete judgement."""
+    return evaluation.to_judge(_evaluated_events(t), question_type="click").select("question_id")
+
+
+@query(f"WITH {_ITEMS} SELECT question_type, count(*) AS questions, round(avg(hit_at_k), 9) AS hit_at_k, round(avg(CASE WHEN question_id::BIGINT % 3 = 0 THEN question_id::BIGINT % 5 END), 9) AS correctness FROM it GROUP BY ROLLUP (question_type)")
+def judge_scores(t: Tables) -> DataFrame:
+    return evaluation.judge_summary(_evaluated_events(t)).select("question_type", "questions", "hit_at_k", "correctness")
+
+
+@query(f"WITH {_ITEMS} SELECT question_id FROM it WHERE question_id::BIGINT % 11 = 0 OR question_id::BIGINT % 5 = 0")
+def run_queue(t: Tables) -> DataFrame:
+    """Questions that a resumed run takes: those without a result, and those that ended in an error."""
+    rows = _evaluated_events(t)
+    done = rows.where(F.col("question_id").cast("long") % 11 != 0).select("question_id", "status")
+    return evaluation.run_items(rows.select("question_id"), done, retry_failed=True)
+
+
+@query(f"""WITH {_ITEMS} SELECT question_id, CASE WHEN status = 'error' THEN 'error' WHEN hit_at_k = 1 THEN CASE WHEN prompt_tokens IS NOT NULL THEN 'answered' ELSE 'empty_answer' END WHEN status IS NULL THEN 'no_hits' ELSE 'rejected' END AS status FROM it""")
+def item_status(t: Tables) -> DataFrame:
+    gate = F.when(F.col("status").isNull(), "no_candidates").otherwise("below_threshold")
+    answerable = F.coalesce(F.col("hit_at_k") == 1, F.lit(False))
+    status = evaluation.item_status(answerable, gate, F.col("prompt_tokens").cast("string"), F.when(F.col("status") == "error", "x"))
+    return _evaluated_events(t).select("question_id", status.alias("status"))
+
+
+@query(f"""WITH {_ITEMS} SELECT question_id, coalesce(status, '') AS status, CASE WHEN hit_at_k IS NULL THEN '' ELSE hit_at_k * 100 || '.0%' END AS hit_at_k, CASE WHEN missing = 1 THEN 'x' ELSE '' END AS missing_sources, coalesce(prompt_tokens::VARCHAR, '') AS prompt_tokens,
+CASE WHEN question_id::BIGINT % 3 = 0 THEN (question_id::BIGINT % 5)::VARCHAR ELSE '' END AS correctness, CASE WHEN question_id::BIGINT % 3 = 0 AND question_id::BIGINT % 9 > 0 THEN 'because' ELSE '' END AS judge_reason FROM it""")
+def export_rows(t: Tables) -> DataFrame:
+    blank = {c: F.lit(None).cast("string") for c in ("question", "ground_truth", "answer", "eval_criteria", "error")}
+    rows = _evaluated_events(t).withColumns(blank | {"hits": F.lit(None).cast("array<struct<source:string,page:int>>")})
+    return rows.select(*evaluation.export_row()).select("question_id", "status", "hit_at_k", "missing_sources", "prompt_tokens", "correctness", "judge_reason")
+
+
+@query(r"""WITH q AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '' ELSE chr(9) END AS question, turn FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(question) < 1 THEN 'empty' WHEN length(question) > 2000 THEN 'too long' WHEN NOT regexp_matches(question, '\S') THEN 'blank' END AS problem FROM q""")
+def question_rules(t: Tables) -> DataFrame:
+    text = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, "").otherwise("\t")
+    return t.conversations.select("conv_id", "turn", answers.question_problem(text).alias("problem"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped, coalesce(nullif(left(regexp_replace(regexp_replace(url, '[^0-9A-Za-z\x{3400}-\x{9fff}]+', '-', 'g'), '^-+|-+$', '', 'g'), 24), ''), 'query') AS slug,
+lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host, list_extract(string_split_regex(url, '[/\\]'), -1) AS basename FROM pages""")
+def page_names(t: Tables) -> DataFrame:
+    """Escaped beginnings of pages, and names made of their addresses."""
+    url = F.col("url")
+    return t.pages.select("page_id", T.html_escape(F.left("html", F.lit(200))).alias("escaped"), T.slug(url).alias("slug"), T.host(url).alias("host"), T.basename(url).alias("basename"))
+
+
+@query("""SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000000+00:00' AS at, printf('%.2fs', value) AS seconds, 'a=' || event_id || ',b=2' || CASE WHEN event_id % 2 = 0 THEN ',c=3' ELSE '' END AS merged FROM events""")
+def formats_and_maps(t: Tables) -> DataFrame:
+    """Times and seconds as text, and maps merged with the second one winning and some keys left out."""
+    own = F.col("event_id").cast("string")
+    first = F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("2"), F.lit("z"), F.lit("9"))
+    second = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("c"), F.lit("3"), F.lit("a"), own)).otherwise(F.create_map(F.lit("a"), own))
+    both = F.map_entries(T.without_keys(T.merged_maps(first, second), ["z"]))
+    merged = F.array_join(F.array_sort(F.transform(both, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return t.events.select("event_id", T.iso_time(F.date_trunc("second", "ts")).alias("at"), T.seconds(F.col("value")).alias("seconds"), merged.alias("merged"))
+
+
+_BUILD = """f AS (SELECT doc_id::VARCHAR AS document_id, doc_id % 5 = 1 AS changed, doc_id % 7 <> 0 AS ok, doc_id % 13 AS report FROM documents WHERE doc_id % 5 <> 3), r AS (SELECT doc_id::VARCHAR AS document_id, doc_id % 11 <> 0 AS sound, doc_id % 17 = 0 AS other FROM documents WHERE doc_id % 5 <> 2),
+a AS (SELECT coalesce(f.document_id, r.document_id) AS document_id, f.document_id IS NOT NULL AS has_file, coalesce(sound, false) AS sound, coalesce(ok AND report > 0, false) AS ok, CASE WHEN f.document_id IS NULL THEN CASE WHEN sound THEN 'missing' ELSE 'gone' END WHEN r.document_id IS NOT NULL AND NOT changed AND NOT other AND sound THEN 'reuse' ELSE 'process' END AS action FROM f FULL JOIN r ON f.document_id = r.document_id)"""
+
+
+def _planned_build(t: Tables) -> DataFrame:
+    """Documents as files and as records of before; what changed, failed and came follows their ids."""
+    n, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    docs = t.documents.select("doc_id")
+    files = docs.where(n % 5 != 3).select(text.alias("document_id"), text.alias("source"), text.alias("source_path"), F.when(n % 5 == 1, "new").otherwise("old").alias("sha256"))
+    blank = {c: F.lit(None).cast(kind) for c, kind in (x.strip().split(" ") for x in build.RECORD.split(","))}
+    own = {"document_id": text, "source": text, "source_path": text, "active_source_sha256": F.lit("old"), "pipeline_signature": F.when(n % 17 == 0, "other").otherwise("p"), "artifact_key": F.sha2(text, 256)}
+    records = docs.where(n % 5 != 2).withColumns(blank | own).drop("doc_id")
+    sound = docs.select(F.sha2(text, 256).alias("artifact_key"), (n % 11 != 0).alias("sound"))
+    return build.plan(files, records, sound, "p")
+
+
+@query(f"WITH {_BUILD} SELECT document_id, action FROM a")
+def build_plan(t: Tables) -> DataFrame:
+    return _planned_build(t).select("document_id", "action")
+
+
+@query(f"""WITH {_BUILD} SELECT document_id, CASE action WHEN 'reuse' THEN 'active' WHEN 'missing' THEN 'missing_source' ELSE CASE WHEN ok THEN 'active' WHEN sound THEN 'stale' ELSE 'failed_new' END END AS status FROM a WHERE action <> 'gone' OR has_file""")
+def build_records(t: Tables) -> DataFrame:
+    n = F.col("doc_id")
+    parsed = t.documents.where(n % 13 > 0).select(n.cast("string").alias("document_id"), (n % 7 != 0).alias("ok"), F.lit(1).cast("long").alias("pages"), F.lit(None).cast("string").alias("error"))
+    return build.reconciled(_planned_build(t), parsed, "p").select("document_id", "status")
+
+
+@query("""WITH c AS (SELECT source AS k, doc_id FROM documents), v AS (SELECT source AS k, doc_id, CASE WHEN doc_id % 50 = 7 THEN 3 ELSE 2 END AS n, doc_id % 90 = 5 AS wrong FROM documents WHERE doc_id % 70 <> 9)
+SELECT c.k AS artifact_key, count(*) AS chunks, max(n) AS dimension, coalesce(count(*) FILTER (n IS NULL OR wrong) = 0 AND min(n) = max(n), false) AS sound FROM c LEFT JOIN v ON c.doc_id = v.doc_id GROUP BY c.k""")
+def artifact_checks(t: Tables) -> DataFrame:
+    n = F.col("doc_id")
+    rows = t.documents.select(F.col("source").alias("artifact_key"), n.cast("string").alias("chunk_id"), "doc_id")
+    first = F.when(n % 90 == 5, F.lit(float("nan"))).otherwise(F.lit(1.0))
+    vectors = rows.where(n % 70 != 9).withColumn("embedding", F.when(n % 50 == 7, F.array(first, F.lit(0.0), F.lit(0.0))).otherwise(F.array(first, F.lit(0.0))))
+    return build.artifact_faults(rows, vectors)
+
+
+@query("""WITH q AS (SELECT item_id::VARCHAR AS question_id, [item_id % 3, item_id % 5] AS refs FROM benchmark), e AS (SELECT question_id, unnest(refs) AS c FROM q)
+SELECT question_id, array_to_string(list_sort(list_distinct(list('src' || c))), ',') AS targets, coalesce(array_to_string(list_sort(list_distinct(list('src' || c) FILTER (c = 4))), ','), '') AS missing FROM e GROUP BY question_id""")
+def question_targets(t: Tables) -> DataFrame:
+    codes = F.array((F.col("item_id") % 3).cast("string"), (F.col("item_id") % 5).cast("string"))
+    questions = t.benchmark.select(F.col("item_id").cast("string").alias("question_id"), codes.alias("reference_context_ids"))
+    names = t.spark.range(5).select(F.col("id").cast("string").alias("doc_code"), F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))
+    rows = evaluation.targets(questions, names, names.where("source <> 'src4'"))
+    return rows.select("question_id", F.array_join("targets", ",").alias("targets"), F.array_join("missing_sources", ",").alias("missing"))
+
+
+@query("""WITH d AS (SELECT q.vec_id AS question_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 30),
+s AS (SELECT question_id, chunk_id, 31 - rank AS rank FROM d), u AS (SELECT *, 2.0::DOUBLE AS w, 'd' AS route FROM d UNION ALL SELECT *, 0.5::DOUBLE, 's' FROM s),
+f AS (SELECT question_id, chunk_id, round(sum(w / (60 + rank)), 9) AS fusion_score, min(rank) AS best_rank FROM u GROUP BY question_id, chunk_id)
+SELECT question_id, chunk_id, fusion_score, row_number() OVER (PARTITION BY question_id ORDER BY fusion_score DESC, best_rank, chunk_id) AS fusion_rank FROM f QUALIFY fusion_rank <= 20""")
+def weighted_fusion(t: Tables) -> DataFrame:
+    """Dense hits fused with the same in reverse, at other weights."""
+    found = retrieval.dense_topk(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "vec_id").select(F.col("query").alias("question_id"), F.col("vec").alias("chunk_id"), "score", "rank")
+    routes = {"dense": found, "reverse": found.withColumn("rank", 31 - F.col("rank"))}
+    fused = retrieval.reciprocal_rank_fusion(routes, "question_id", "chunk_id", weights={"dense": 2.0, "reverse": 0.5})
+    return fused.select("question_id", "chunk_id", "fusion_score", "fusion_rank")
+
+
+@query()
+def hybrid_recall(t: Tables) -> DataFrame:
+    """Dense and sparse recall of the items over the documents, with the hashing embedder in the place of a model."""
+    embed = embedding.hashing_embedder()
+    vectors = embedding.embedded(t.docs(), "doc_id", embed)
+    return embedding.hybrid(t.docs(), vectors, t.items(), "doc_id", "item_id", embed)
