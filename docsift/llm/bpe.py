@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from docsift.llm.common import batch_rows, texts
+from docsift.llm.common import batch_rows, lean, texts
 
 # The white space of Unicode's White_Space property.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -303,7 +303,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -328,4 +328,4 @@ def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 out[3].append(sha(" ".join(pieces)))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

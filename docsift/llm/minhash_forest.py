@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import batch_rows, drop_scratch, materialize
+from docsift.llm.common import batch_rows, drop_scratch, lean, materialize, small_batches
 
 WORDS = 5
 TREES, STEP = 20, 6
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "signature", "packed_text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, signature binary, packed_text binary")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, set_key binary, signature binary, packed_text binary")
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -165,10 +165,10 @@ def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs a < b of nodes; ``first`` marks one pair of each node, with the smallest partner there is."""
     rows = forest_rows(classes)
     ordered = rows.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    found = materialize(ordered.mapInArrow(_neighbours, PAIR_SCHEMA), "forest-neighbours")
+    found = materialize(ordered.mapInArrow(lean(_neighbours), PAIR_SCHEMA), "forest-neighbours")
     # Neighbours across the borders of partitions: a few rows of each partition, sorted in one task.
     edges = found.where("b is null").select("tree", "prefix", F.col("a").alias("node")).distinct()
-    across = edges.repartition(1).sortWithinPartitions("tree", "prefix", "node").mapInArrow(_neighbours, PAIR_SCHEMA).where("b is not null")
+    across = edges.repartition(1).sortWithinPartitions("tree", "prefix", "node").mapInArrow(lean(_neighbours), PAIR_SCHEMA).where("b is not null")
     # Every region's members against its smallest.
     region = F.substring("prefix", 1, 2 * MIN_DEPTH).alias("region")
     hubs = rows.groupBy("tree", region).agg(F.count("*").alias("members"), F.min("node").alias("a")).where("members > 1")
@@ -213,10 +213,10 @@ def links(pairs: DataFrame, classes: DataFrame, stored: DataFrame, percent: int,
     sketch = lambda x: classes.select(F.col("node").alias(x), F.col("signature").alias(f"sketch_{x}"))
     likely = pairs.select("a", "b")
     if sketched:
-        likely = likely.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long")
+        likely = likely.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(lean(_likely), "a long, b long")
     text = lambda x: stored.select(F.col("node").alias(x), F.col("packed_text").alias(f"text_{x}"))
     both = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirmed(percent), "a long, b long").distinct()
+    return both.mapInArrow(lean(_confirmed(percent)), "a long, b long").distinct()
 
 
 def unsettled(classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _shingle_counts(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["counter", "n"])
 
-    found = sets.select("packed_text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    found = sets.select("packed_text").mapInArrow(lean(run), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[found["counter"].to_numpy()] = found["n"].to_numpy()
     return counts
@@ -265,7 +265,7 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
                 own = lambda c: pa.repeat(batch.column(batch.schema.get_field_index(c))[k], len(rare))  # noqa: B023,E731
                 yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64)), pa.array(np.arange(len(rare))), pa.repeat(pa.scalar(len(s), pa.int64()), len(rare)), own("node"), own("component")], ["shingle", "place", "n", "node", "component"])
 
-    return sets.mapInArrow(run, "shingle long, place long, n long, node long, component long")
+    return sets.mapInArrow(lean(run), "shingle long, place long, n long, node long, component long")
 
 
 def sharing(rare: DataFrame, percent: int) -> DataFrame:
@@ -312,6 +312,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
 
     The id may be of any type with an order.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = materialize(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures", compression="none")
     per_set = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("row", "signature")).alias("least"), F.min("doc_id").alias("least_id"))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import batch_rows, drop_scratch, materialize, texts
+from docsift.llm.common import batch_rows, drop_scratch, lean, materialize, texts
 
 LENGTH = 200
 GRAM = 32
@@ -205,7 +205,7 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
             rows = [(i, raw := t.encode("utf-8", "surrogatepass"), zlib.crc32(raw)) for i, t in batch_rows(batch, "doc_id", "text")]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.array([r[2] for r in rows], np.uint32).astype(np.int32)), pa.array([pack.compress(r[1]) for r in rows], pa.binary())], ["doc_id", "crc", "packed_text"])
 
-    return docs.mapInArrow(run, "doc_id long, crc int, packed_text binary")
+    return docs.mapInArrow(lean(run), "doc_id long, crc int, packed_text binary")
 
 
 def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -228,13 +228,13 @@ def _refined(refine: DataFrame, packed: DataFrame, block: int) -> DataFrame:
     """Items of the next level, from the texts of the documents they stand in."""
     of_doc = refine.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("packed", "core")).alias("items"))
     same = packed.join(of_doc, (packed.doc_id.eqNullSafe(of_doc.doc_id)) & (packed.crc == of_doc.crc)).select(packed.doc_id, packed.crc, "packed_text", "items")
-    return same.mapInArrow(_item_rows(block), ITEM)
+    return same.mapInArrow(lean(_item_rows(block)), ITEM)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, crc and spans array<struct<start,end>> of repeated strings, in bytes, not yet merged."""
     packed = _packed_texts(docs)
-    repeated, refine = _settle(docs.mapInArrow(_anchor_rows, ITEM))
+    repeated, refine = _settle(docs.mapInArrow(lean(_anchor_rows), ITEM))
     blocks = materialize(_refined(refine, packed, BLOCK), "blocks")
     in_blocks, refine = _settle(blocks)
     single = materialize(_refined(refine, packed, 1), "strings")
@@ -271,4 +271,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     docs = texts(docs, id_col=id_col, text_col=text_col)
     spans, packed = repeated_spans(docs), _packed_texts(docs)
     joined = packed.join(spans, (packed.doc_id.eqNullSafe(spans.doc_id)) & (packed.crc == spans.crc), "left").select(packed.doc_id, "packed_text", "spans")
-    return joined.mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(lean(_cut_rows), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docsift.llm.bpe import SPACES, Bpe, Memo, load
-from docsift.llm.common import batch_rows, texts
+from docsift.llm.common import batch_rows, lean, texts
 
 _SPACE = re.compile(f"[{SPACES}]+")
 
@@ -105,7 +105,7 @@ def prefix_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
             for doc_id, text in batch_rows(batch, "doc_id", "text"):
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([PrefixCounts(model, text).at], pa.list_(pa.int32()))], ["doc_id", "prefix_tokens"])
 
-    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, prefix_tokens array<int>")
+    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(lean(run), "doc_id long, prefix_tokens array<int>")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 1024) -> DataFrame:
@@ -125,4 +125,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 1024) ->
                 out[3].append(n > limit)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

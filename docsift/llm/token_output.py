@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docsift.llm.bpe import Memo, load
-from docsift.llm.common import batch_rows, scratch_path, texts
+from docsift.llm.common import batch_rows, lean, scratch_path, texts
 
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
 
@@ -61,7 +61,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), ids], ["shard", "doc_id", "shard_start", "n_tokens", "ids"])
 
-    return texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+    return texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
@@ -90,7 +90,7 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
             keep = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "start", "n_tokens")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(docs: DataFrame, tokenizer_path: str, label: str = "token-files") -> DataFrame:
