@@ -1,8 +1,8 @@
 """Personal data by candidate generation and gradient boosting (operator 4), in DataFrame functions only.
 
 The base patterns find plain e-mail addresses, IPv4 addresses, card and telephone numbers; their spans always stay.
-Further generators with high recall propose more, overlapping spans: disguised addresses, IPv6, numbers without a leading
-plus, cards with other separators.  Boosted trees see each proposal's format and the words around it, and a threshold
+Further generators with high recall propose more, overlapping spans: disguised addresses, IPv6, shortened or not, numbers
+without a leading plus or in pairs, cards with other separators.  Boosted trees see each proposal's format and the words around it, and a threshold
 calibrated on rows they were not trained on selects those to redact.  The trees are trained here on made-up sentences of
 both classes, as no labelled personal data is at hand, and run as column expressions.
 
@@ -37,15 +37,18 @@ BASE = {
 }
 #: Further generators: kind and pattern.
 MORE = [
-    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[{]\x20?at\x20?[)\]}]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}+){1,4}+"),
-    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20at\x20[A-Za-z0-9-]{1,63}+(?:\x20dot\x20[A-Za-z0-9-]{1,63}+){1,4}+"),
+    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[{]\x20?at\x20?[)\]}]\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]++)++"),
+    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[./_\x20-]{1,3}[0-9]{4}){3}(?![0-9])"),
     ("phone", r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-]?[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9])"),
+    # Shortened IPv6, and telephone numbers in pairs.
+    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Fa-f:])"),
+    ("phone", r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?[0-9]{1,2}(?:[\x20./-][0-9]{2}){4}(?![0-9])"),
 ]
 NEAR = 24
 #: Texts that can hold a proposal of the further generators.
-MAY = r"[0-9]|(?i)[(\[{ ]at[)\]} ]"
+MAY = r"[0-9]|::|[A-Fa-f]:[A-Fa-f]|(?i)[(\[{ ]at[)\]} ]"
 
 
 def running(lengths: Column) -> Column:
@@ -143,7 +146,7 @@ def _features(text: Column, s: Column, source: Column) -> list[Column]:
         F.size(F.array_distinct(F.split(d, ""))).cast("double"),
         flag(luhn(d)),
         flag(before.rlike(r"(?:mail|contact|write|reach|address)\P{L}*(?:\p{L}+\P{L}+)?$")),
-        flag(before.rlike(r"(?:phone|tel|call|mobile|cell|fax|whatsapp|dial|sms|text)\p{L}*\P{L}*(?:\p{L}+\P{L}+)?$")),
+        flag(before.rlike(r"(?:phone|tel|tél|call|appel|mobile|handy|cell|fax|whatsapp|dial|sms|text)\p{L}*\P{L}*(?:\p{L}+\P{L}+)?$")),
         flag(before.rlike(r"(?:card|visa|master|amex|credit|debit|payment)\p{L}*\P{L}*(?:\p{L}+\P{L}+)?$")),
         flag(before.rlike(r"(?:\bip|host|server|client|login|network|ipv6)\p{L}*\P{L}*(?:\p{L}+\P{L}+)?$")),
         flag(before.rlike(r"(?:order|invoice|version|isbn|serial|part|item|ref|page|section|build|no|id|code|model|total|sku)\p{L}*\P{L}*$")),
@@ -157,7 +160,7 @@ def _features(text: Column, s: Column, source: Column) -> list[Column]:
 def proposals(text: Column, base: Column) -> Column:
     """Further spans that touch no base span, with the number of their generator."""
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string,source:int>>")
-    may = [text.rlike(r"(?i)[(\[{]\x20?at\x20?[)\]}]"), text.rlike(r"(?i)\x20at\x20[A-Za-z0-9-]{1,63}+\x20dot\x20"), text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), text.rlike("[0-9]"), text.rlike("[0-9]")]
+    may = [text.rlike(r"(?i)[(\[{]\x20?at\x20?[)\]}]"), text.rlike(r"(?i)\x20at\x20[A-Za-z0-9-]++\x20dot\x20"), text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), text.rlike("[0-9]"), text.rlike("[0-9]"), F.contains(text, F.lit("::")), text.rlike(r"[0-9][\x20./-][0-9]")]
 
     def of(k: int, kind: str, pattern: str) -> Column:
         spans = F.transform(_spans(kind, matches(text, pattern)), lambda s: s.withField("source", F.lit(k)))
@@ -182,6 +185,7 @@ def _sentences(seed: int = 4, n: int = 240) -> list[tuple[str, str]]:
     def four(d: str) -> str:
         return pick(".", "/", "_", "  ").join(d[k : k + 4] for k in range(0, 16, 4))
 
+    hextets = lambda low, high: ":".join(f"{rng.getrandbits(pick(4, 16, 16)):x}" for _ in range(rng.randint(low, high)))
     tld = lambda: pick("com", "org", "net", "edu", "de", "fr")
     good = [
         lambda: (pick("email me:", "contact", "write to", "mail", word()), f"{word()} (at) {word()} (dot) {tld()}"),
@@ -192,6 +196,8 @@ def _sentences(seed: int = 4, n: int = 240) -> list[tuple[str, str]]:
         lambda: (pick("dial", "telephone", "phone"), f"00{rng.randint(30, 49)} {num(3)} {num(3)} {num(4)}"),
         lambda: (pick("card", "credit card", "visa", "payment card"), four(card())),
         lambda: (pick("from host", "ip", "server", word()), ":".join(f"{rng.getrandbits(pick(4, 16, 16)):x}" for _ in range(8))),
+        lambda: (pick("from host", "ip", "server", "client", word()), f"{hextets(1, 4)}::{hextets(1, 3)}"),
+        lambda: (pick("appelez le", "tél.", "mobile", "phone", "téléphone"), pick(" ", ".", "-").join([f"0{rng.randint(1, 9)}", *(num(2) for _ in range(4))])),
     ]
     bad = [
         lambda: f"{pick('order', 'invoice', 'part no', 'serial', 'ref')} {num(3)}-{num(3)}-{num(4)}",
@@ -203,6 +209,8 @@ def _sentences(seed: int = 4, n: int = 240) -> list[tuple[str, str]]:
         lambda: f"{word()}={num(9)}{word()}",
         lambda: f"{word()} {num(11)}",
         lambda: f"{word()} {pick('at', 'on')} {word()} dot {word()}",
+        lambda: f"{pick('std', 'use', word())}{pick('', ' ', 'a', 'be')}::{pick('', 'fe', 'add', word())}",
+        lambda: f"{pick('sizes', 'scores', 'item', word())} {' '.join(num(2) for _ in range(5))}",
     ]
     out = []
     for _ in range(n):
