@@ -39,6 +39,8 @@ _LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9\xb2\xb
 WORD_END = "\x00"
 #: Characters of the words in a generation of a Python worker's memo, with so many more for each word.
 MEMO_CHARS, MEMO_EXTRA = 5 << 20, 64
+#: The same where an entry holds only numbers.
+LEAN_MEMO_CHARS = 14 << 20
 #: Code points from here on are in no version of Unicode letters or numbers: unassigned, tags or for private use.
 PLANES = 0x40000
 

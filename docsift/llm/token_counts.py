@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docsift.llm.bpe import SPACES, Bpe, Memo, load
+from docsift.llm.bpe import LEAN_MEMO_CHARS, SPACES, Bpe, Memo, load
 from docsift.llm.common import batch_rows, lean, texts
 
 _SPACE = re.compile(f"[{SPACES}]+")
@@ -93,7 +93,7 @@ def _fill(model: Bpe, section: str, begin: int, end: int, total: int, out: list[
 @lru_cache(4)
 def _counts(path: str) -> Memo:
     model = load(path)
-    return Memo(lambda word: model.prefix_counts(model.shaped(word))[-1])
+    return Memo(lambda word: model.prefix_counts(model.shaped(word))[-1], LEAN_MEMO_CHARS)
 
 
 def prefix_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsift.llm.bpe import Memo, load
+from docsift.llm.bpe import LEAN_MEMO_CHARS, Memo, load
 from docsift.llm.common import batch_rows, lean, scratch_path, texts
 
 SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
@@ -34,7 +34,7 @@ SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int
 def _ids(path: str) -> Memo:
     """Little-endian ids of a pre-token, from the byte-pair model of the tokenizers library."""
     model, shaped = Tokenizer.from_file(path).model, load(path).shaped
-    return Memo(lambda word: np.array([t.id for t in model.tokenize(shaped(word))], "<u4").tobytes())
+    return Memo(lambda word: np.array([t.id for t in model.tokenize(shaped(word))], "<u4").tobytes(), LEAN_MEMO_CHARS)
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
