@@ -1,7 +1,7 @@
 """Quality rules combined by weak supervision (operator 6), in DataFrame functions only.
 
 Counts of a text are taken inside its row with array functions, so nothing is shuffled: five-word windows are hashed,
-sorted and compared with their neighbours.  Each rule votes good, bad or abstains, and each kind of fault is seen by two
+sorted and compared with their neighbours.  Each rule votes good, bad or abstains, and most kinds of fault are seen by two
 rules or more, since votes that fall together are what unlabelled estimation learns from.  How often each pattern of votes
 occurs is counted over the whole corpus (at most ``3 ** rules`` rows); expectation-maximisation on that table, as a naive
 Bayes model with a hidden quality, estimates how far each rule's votes can be trusted, and a text is kept if its posterior
