@@ -445,6 +445,66 @@ def test_decontamination_recall_against_every_pair(spark, monkeypatch, rank):
     assert not {i for i, _ in found if i >= 10_000}
 
 
+def test_decontamination_space_of_all_documents(spark, monkeypatch):
+    """A space one direction too small gives up the item that no document holds, and long documents count as others do."""
+    rng = random.Random(31)
+    placed = []
+    place = decontamination.Block.place
+    monkeypatch.setattr(decontamination, "RANK", 4)
+    monkeypatch.setattr(decontamination.Block, "place", lambda block, space: (placed.append((block, space)), place(block, space)))
+    items = [(k, " ".join(f"item{k}word{n}" for n in range(8))) for k in range(5)]
+    rows = [(d, " ".join(f"{' '.join(f'other{rng.randrange(900)}' for _ in range(40))} {items[(0, 1, 3, 4)[d % 4]][1]}" for _ in range(50))) for d in range(40)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontamination.leaks(docs, bench).count() == 40
+    (block, space), *more = placed
+    assert not more
+    kept = [sum(space[block.vocab[w.encode()]] for w in t.split()) / 8**0.5 for _, t in items]
+    assert [round(float(x @ x), 2) for x in kept] == [1, 1, 0, 1, 1]
+    # Four items in ten documents each: other words weigh as much as theirs.
+    assert abs(block.weights[-1] - (np.log(41 / 11) + 1)) < 1e-9
+
+
+def test_decontamination_counts_and_space_against_plain_loops(spark, monkeypatch):
+    """Counts and mean products of every passage of every document: more than a sample's, long, empty and repeated ones."""
+    rng = random.Random(32)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.sample(words[:200], 30))) for k in range(9)]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 200)))) for k in range(300)] + [(None, ""), (None, None), (7, " ".join(rng.choices(words[:60], k=30_000)))]
+    rows.append(rows[0])
+    texts_of = [decontamination.words_of(t or "") for _, t in rows]
+    got = []
+    for parts in (1, 7):
+        docs = decontamination.texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        block = decontamination.Block(items)
+        counts, documents, numbers = decontamination._document_counts(docs, block)
+        assert documents == len(rows)
+        assert counts == {k: n for w, k in block.vocab.items() if (n := sum(w in t for t in map(set, texts_of)))}
+        kept = numbers.where("words is not null").collect()
+        assert sorted(tuple(block.unpacked(r.words)) for r in kept) == sorted(tuple(block.vocab.get(w, -1) for w in t) for t in texts_of)
+        block.weigh(counts, documents)
+        got.append(decontamination._corpus_space(numbers, block))
+        decontamination.drop_scratch(numbers)
+    assert (got[0] == got[1]).all()
+    want, n = np.zeros((len(block.vocab),) * 2), 0
+    for t in texts_of:
+        for at in range(0, len(t), decontamination.PASSAGE):
+            v = np.zeros(len(block.vocab))
+            for w in t[at : at + decontamination.PASSAGE]:
+                if w in block.vocab:
+                    v[block.vocab[w]] += block.idf[block.vocab[w]]
+            if v.any():
+                want, n = want + np.outer(v, v) / (v @ v), n + 1
+    assert np.abs(got[0] @ got[0].T - want / n).max() < 1e-4
+    # With columns for a part of the terms only, what is kept is no more than there is, and most of its largest direction.
+    monkeypatch.setattr(decontamination, "RANK", 30)
+    _, _, numbers = decontamination._document_counts(docs, block)
+    part = decontamination._corpus_space(numbers, block)
+    values, vectors = np.linalg.eigh(want / n)
+    assert part.shape[1] <= 62
+    assert np.linalg.eigvalsh(want / n - part @ part.T).min() > -1e-4
+    assert ((part.T @ vectors[:, -1]) ** 2).sum() > 0.8 * values[-1]
+
+
 def test_decontamination_of_short_items_wants_them_in_sequence(spark):
     bench = spark.createDataFrame([(1, "alpha bravo charlie delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "foo alpha one bravo two charlie three delta bar"), (2, "foo Alpha, bravo charlie delta bar")], "doc_id long, text string")
