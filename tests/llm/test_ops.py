@@ -551,6 +551,22 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes[4]
 
 
+def test_pipeline_decontamination_space_of_all_documents(spark, monkeypatch, tmp_path):
+    """The stage's space follows documents of any length: with a direction too few it gives up the item that none holds."""
+    placed = []
+    place = decontamination.Block.place
+    monkeypatch.setattr(decontamination, "RANK", 2)
+    monkeypatch.setattr(decontamination.Block, "place", lambda block, space: (placed.append((block, space)), place(block, space)))
+    items = [(k, " ".join(f"item{k}word{n}" for n in range(8))) for k in range(3)]
+    rows = [(d, " ".join(f"{'other ' * 40}{items[d % 2 * 2][1]}" for _ in range(50))) for d in range(20)] + [(20, "nothing of it")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert [r.doc_id for r in left.collect()] == [20]
+    ((block, space),) = placed
+    kept = [sum(space[block.vocab[w.encode()]] for w in t.split()) / 8**0.5 for _, t in items]
+    assert [round(float(x @ x), 2) for x in kept] == [1, 0, 1]
+
+
 def test_pipeline_rows_with_null_and_repeated_ids(spark, tmp_path):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
