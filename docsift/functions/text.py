@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A latin word with joins, a number with decimals and percent sign, or a run of CJK characters.
 TOKEN = r"[A-Za-z]+(?:[._+\-]?[A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)*(?:%|％)?|[\x{3400}-\x{9fff}]+"
 CJK = r"^[\x{3400}-\x{9fff}]"
+_TOKEN, _CJK = (re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", p)) for p in (TOKEN, CJK[1:]))
 # Page tokens in repeated margins, the whole-answer refusal, citations.
 ROMAN = r"(?i)(?<![A-Za-z])[ivxlcdm]+(?![A-Za-z])"
 ARABIC = r"(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9])"
@@ -31,6 +34,14 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(CJK[1:]), F.flatten(F.transform(found, pieces))).otherwise(F.transform(found, F.lower))
 
 
+def words(text: str) -> list[str]:
+    """The same as ``tokens`` in plain Python."""
+    found = _TOKEN.findall(text)
+    if not _CJK.search(text):
+        return [x.lower() for x in found]
+    return [w for x in found for w in ([x[i : i + 2] for i in range(max(len(x) - 1, 1))] if _CJK.match(x) else [x.lower()])]
+
+
 def normalized(text: Column) -> Column:
     """Stripped text whose lines are stripped and have single blanks; line breaks stay."""
     lines = F.split(strip(text), r"\R")
