@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docsift.config import DEFAULT, Config
 from docsift.functions.text import normalized, repeat_key, strip
+from docsift.sources.scratch import dealt, materialize
 
 # Block types with rules of their own.
 PROTECTED = ["table", "formula", "equation", "interline_equation", "image", "chart", "code"]
@@ -163,15 +164,16 @@ def titles(blocks: DataFrame) -> DataFrame:
 
 def classified(blocks: DataFrame) -> DataFrame:
     """Texts with a clear number become titles; levels follow the number, else a parser's level from 1 to 6 stays."""
-    text, marked = strip(F.col("text")), F.col("block_type") == "title"
-    rows = blocks.withColumn("open", ~F.col("excluded") & _open_to_titles(text)).withColumn("found", F.when(F.col("open"), title_rule(text, marked)))
+    text, marked = F.col("bare"), F.col("block_type") == "title"
+    rows = blocks.withColumn("bare", strip(F.col("text")))
+    rows = rows.withColumn("open", ~F.col("excluded") & _open_to_titles(text)).withColumn("found", F.when(F.col("open"), title_rule(text, marked)))
     promote = ~marked & F.col("found").isNotNull() & ~_only_reference(text)
     rows = rows.withColumn("promote", promote).withColumn("operations", _operation(F.col("promote"), "promote_title", F.col("found.rule")))
     takes = F.col("found").isNotNull() & (marked | F.col("promote"))
     rows = rows.withColumn("takes", takes).withColumn("operations", _operation(F.col("takes") & ~F.col("title_level").eqNullSafe(F.col("found.level")), "assign_title_level", F.col("found.rule")))
     unsure = F.col("open") & marked & F.col("found").isNull() & ~F.coalesce(F.col("title_level").between(1, 6), F.lit(False))
     level = F.when(F.col("takes"), F.col("found.level")).when(unsure, F.lit(None)).otherwise(F.col("title_level"))
-    return rows.withColumns({"title_level": level.cast("int"), "block_type": F.when(F.col("promote"), "title").otherwise(F.col("block_type"))}).drop("open", "found", "promote", "takes")
+    return rows.withColumns({"title_level": level.cast("int"), "block_type": F.when(F.col("promote"), "title").otherwise(F.col("block_type"))}).drop("bare", "open", "found", "promote", "takes")
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:
@@ -240,76 +242,102 @@ def cross_page_merges(blocks: DataFrame) -> DataFrame:
 
 
 def merged(blocks: DataFrame) -> DataFrame:
-    """The merged text stands at its first half, with the ids and pages of both; the second half is gone."""
-    pairs = cross_page_merges(blocks)
-    right = blocks.select("document_id", F.col("block_seq").alias("right_seq"), F.struct("source_block_ids", "page_end").alias("second"))
-    left = pairs.join(right, ["document_id", "right_seq"]).select("document_id", F.col("left_seq").alias("block_seq"), F.struct("text", "rule", "second").alias("join"))
-    gone = pairs.select("document_id", F.col("right_seq").alias("block_seq"), F.lit(True).alias("gone"))
-    rows = blocks.join(left, ["document_id", "block_seq"], "left").join(gone, ["document_id", "block_seq"], "left").where("gone is null").drop("gone")
-    is_pair, ids = F.col("join").isNotNull(), F.array_distinct(F.concat("source_block_ids", "join.second.source_block_ids"))
+    """The merged text stands at its first half, with the ids and pages of both; the second half is marked as gone.
+
+    The pairs are those of ``cross_page_merges``, found by windows, so that no block is joined.
+    """
+    order = Window.partitionBy("document_id").orderBy("excluded", "page_start", "block_seq")
+    page = Window.partitionBy("document_id", "excluded", "page_start")
+    paragraph = F.col("block_type").isin(PARAGRAPHS) & (strip(F.col("text")) != "")
+    rows = blocks.withColumn("paragraph", paragraph & ~F.col("excluded"))
+    rows = rows.withColumns({"ends_page": ~F.col("excluded") & (F.col("block_seq") == F.max("block_seq").over(page)), "on_page": F.count("*").over(page)})
+    second = F.lead(F.struct("paragraph", "page_start", "page_end", "text", "source_block_ids")).over(order)
+    rows = rows.withColumn("second", F.when(F.col("ends_page"), second))
+    fits = F.col("paragraph") & F.col("second.paragraph") & (F.col("second.page_start") == F.col("page_start") + 1)
+    rows = rows.withColumn("join", F.when(fits, merge_rule(F.col("text"), F.col("second.text"))))
+    # A block serves once: chains through pages of one block take every other pair.
+    ends = Window.partitionBy("document_id").orderBy(F.desc("ends_page"), "page_start")
+    chained = F.lag("join").over(ends).isNotNull() & (F.lag("page_start").over(ends) == F.col("page_start") - 1) & (F.col("on_page") == 1)
+    rows = rows.withColumn("start", F.when(F.col("join").isNotNull() & F.coalesce(chained, F.lit(False)), 0).otherwise(1)).withColumn("chain", F.sum("start").over(ends))
+    place = F.row_number().over(Window.partitionBy("document_id", "ends_page", "chain").orderBy("page_start"))
+    rows = rows.withColumn("picked", F.col("join").isNotNull() & (place % 2 == 1))
+    rows = rows.withColumn("gone", F.coalesce(F.lag("picked").over(order), F.lit(False)))
+    is_pair, ids = F.col("picked"), F.array_distinct(F.concat("source_block_ids", "second.source_block_ids"))
     merged_id = F.concat(F.lit("merged_"), F.left(F.sha2(F.array_join(ids, "\u0000"), 256), F.lit(20)))
     new = {
         "operations": _operation(is_pair, "cross_page_paragraph_merge", F.col("join.rule")),
         "text": F.when(is_pair, F.col("join.text")).otherwise(F.col("text")),
         "block_id": F.when(is_pair, merged_id).otherwise(F.col("block_id")),
         "source_block_ids": F.when(is_pair, ids).otherwise(F.col("source_block_ids")),
-        "page_end": F.when(is_pair, F.col("join.second.page_end")).otherwise(F.col("page_end")),
+        "page_end": F.when(is_pair, F.col("second.page_end")).otherwise(F.col("page_end")),
     }
-    return rows.withColumns(new).drop("join")
+    return rows.withColumns(new).drop("paragraph", "ends_page", "on_page", "second", "join", "start", "chain", "picked")
 
 
-def violations(before: DataFrame, after: DataFrame) -> DataFrame:
-    """document_id and the first rule that its cleaned blocks break; no row for a sound document.
+def traced(blocks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """All blocks through every step, with what they were (given_id, given_type); those that were merged into another are gone.
+
+    Blocks are shuffled once, by document, into parts of bounded size, and every step is a window within a document.
+    """
+    rows = prepared(dealt(blocks, "document_id")).withColumns({"given_id": F.col("block_id"), "given_type": F.col("block_type")})
+    return sections(merged(classified(without_margins(normalized_blocks(rows), config))))
+
+
+def audit(done: DataFrame) -> DataFrame:
+    """Of traced blocks one row for each document: counters, warnings, and the first rule that it breaks, null for a sound one.
 
     Ids are unique, every block is traced to the blocks it came from and none is lost, pages and levels are in range, merges
     span one page break, and the number of objects, notes and references is unchanged.
     """
-    kinds = [F.count_if(F.col("block_type") == k).alias(f"n_{k}") for k in PRESERVED]
-    old = before.groupBy("document_id").agg(F.array_sort(F.collect_set("block_id")).alias("ids"), *kinds)
+    kept = lambda c: F.when(~F.col("gone"), c)
     span = F.exists("operations", lambda o: o["op"] == "cross_page_paragraph_merge")
     bad = {
         "page range": (F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start")),
         "title level": ~F.coalesce(F.col("title_level").between(1, 6), F.lit(True)),
         "merge span": span & (F.col("page_end") != F.col("page_start") + 1),
     }
-    flags = [F.max(c).alias(name.replace(" ", "_")) for name, c in bad.items()]
-    new = after.groupBy("document_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_block_ids")))).alias("traced"), (F.count("block_id") != F.countDistinct("block_id")).alias("repeated"), *flags, *(F.count_if(F.col("block_type") == k).alias(f"new_{k}") for k in PRESERVED))
-    both = old.join(new, "document_id", "left")
-    changed = reduce(lambda x, y: x | y, [~F.col(f"n_{k}").eqNullSafe(F.col(f"new_{k}")) for k in PRESERVED])
-    reason = F.when(F.coalesce("repeated", F.lit(True)), "repeated block id").when(F.col("ids") != F.col("traced"), "trace")
+
+    def times(op: str, rule: str | None = None) -> Column:
+        is_it = lambda o: (o["op"] == op) & (F.lit(True) if rule is None else o["rule"] == rule)
+        return F.sum(kept(F.size(F.filter("operations", is_it))))
+
+    counted = {"output_blocks": F.count_if(~F.col("gone"))} | {name: times(op) for op, name in COUNTERS.items()} | {name: times("exclude_repeated_margin", rule) for rule, name in MARGIN_COUNTERS.items()}
+    unknown = F.when(~F.col("block_type").isin([*KNOWN]), F.concat(F.lit("unknown_block_type "), "block_id"))
+    gaps = F.when(F.col("level_gap"), F.concat(F.lit("title_level_gap "), "block_id"))
+    rows = done.groupBy("document_id").agg(
+        F.count("*").alias("input_blocks"),
+        *(c.alias(name) for name, c in counted.items()),
+        F.array_sort(F.flatten(F.collect_list(kept(F.array_compact(F.array(unknown, gaps)))))).alias("warnings"),
+        F.array_sort(F.collect_set("given_id")).alias("ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(kept(F.col("source_block_ids")))))).alias("traced"),
+        F.collect_list(kept(F.col("block_id"))).alias("own"),
+        *(F.max(kept(c)).alias(name.replace(" ", "_")) for name, c in bad.items()),
+        *(F.count_if(F.col("given_type") == k).alias(f"n_{k}") for k in PRESERVED),
+        *(F.count_if(~F.col("gone") & (F.col("block_type") == k)).alias(f"new_{k}") for k in PRESERVED),
+    )
+    changed = reduce(lambda x, y: x | y, [F.col(f"n_{k}") != F.col(f"new_{k}") for k in PRESERVED])
+    reason = F.when(F.size("own") != F.size(F.array_distinct("own")), "repeated block id").when(F.col("ids") != F.col("traced"), "trace")
     for name in bad:
         reason = reason.when(F.col(name.replace(" ", "_")), name)
-    return both.select("document_id", reason.when(changed, "preserved types").alias("reason")).where("reason is not null")
+    rows = rows.withColumn("reason", reason.when(changed, "preserved types"))
+    fallen = F.col("reason").isNotNull()
+    counters = [F.when(fallen, F.lit(0)).otherwise(F.coalesce(F.col(n), F.lit(0))).alias(n) for n in counted]
+    return rows.select("document_id", "input_blocks", *counters, F.when(fallen, F.array(F.concat(F.lit("postprocess_failed "), "reason"))).otherwise(F.col("warnings")).alias("warnings"), fallen.alias("fail_open"))
 
 
 def cleaned(blocks: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Cleaned blocks, and one audit row for each document: counters, warnings, and whether it fell back to its own blocks.
 
-    A document whose cleaned blocks break a rule of ``violations`` comes back as it was, with fail_open set and no counts.
+    A document whose cleaned blocks break a rule of ``audit`` comes back as it was, with fail_open set and no counts.
     Null texts count as empty; documents do not see each other; an empty table gives two empty tables.
     """
-    raw = prepared(blocks)
-    done = sections(merged(classified(without_margins(normalized_blocks(raw), config))))
-    broken = violations(raw, done)
-    sound = done.join(broken, "document_id", "left_anti")
-    columns = [c for c in done.columns if c not in ("section_path", "level_gap")]
-    plain = raw.join(broken.select("document_id"), "document_id", "left_semi").select(*columns, F.array().cast("array<string>").alias("section_path"), F.lit(False).alias("level_gap"))
-
-    def times(op: str, rule: str | None = None) -> Column:
-        is_it = lambda o: (o["op"] == op) & (F.lit(True) if rule is None else o["rule"] == rule)
-        return F.sum(F.size(F.filter("operations", is_it)))
-
-    counted = [times(op).alias(name) for op, name in COUNTERS.items()]
-    margins = [times("exclude_repeated_margin", rule).alias(name) for rule, name in MARGIN_COUNTERS.items()]
-    unknown = F.when(~F.col("block_type").isin([*KNOWN]), F.concat(F.lit("unknown_block_type "), "block_id"))
-    gaps = F.when(F.col("level_gap"), F.concat(F.lit("title_level_gap "), "block_id"))
-    per_doc = sound.groupBy("document_id").agg(F.count("*").alias("output_blocks"), *counted, *margins, F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(unknown, gaps))))).alias("warnings"))
-    inputs = raw.groupBy("document_id").agg(F.count("*").alias("input_blocks"))
-    audit = inputs.join(per_doc, "document_id", "left").join(broken, "document_id", "left")
-    names = ["output_blocks", *COUNTERS.values(), *MARGIN_COUNTERS.values()]
-    fallen = F.col("reason").isNotNull()
-    audit = audit.select("document_id", "input_blocks", *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names), F.when(fallen, F.array(F.concat(F.lit("postprocess_failed "), "reason"))).otherwise(F.col("warnings")).alias("warnings"), fallen.alias("fail_open"))
-    return sound.select(*columns, "section_path", "level_gap").union(plain), audit
+    done = materialize(traced(blocks, config), "cleaned")
+    report = materialize(audit(done), "cleaning-audit")
+    broken = report.where("fail_open").select("document_id")
+    sound = done.where(~F.col("gone")).join(broken, "document_id", "left_anti")
+    columns = [c for c in done.columns if c not in ("section_path", "level_gap", "gone", "given_id", "given_type")]
+    plain = prepared(blocks.join(broken, "document_id", "left_semi")).select(*columns, F.array().cast("array<string>").alias("section_path"), F.lit(False).alias("level_gap"))
+    return sound.select(*columns, "section_path", "level_gap").union(plain), report
 
 
 def bbox_position(y0: Column, y1: Column, height: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _scratch: dict[str, object] = {}
 #: Bytes for each core below which an input of few files is dealt over the cores.
 SMALL = 64 << 20
+#: Bytes of a part of a table that is dealt by keys, as estimated from its files, and the size from which nothing is estimated.
+PART, UNKNOWN = 4 << 20, 1 << 50
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,5 +74,14 @@ def _sweep() -> None:
 def spread(df: DataFrame) -> DataFrame:
     """A table of few files and little data over all cores, since a file of one row group is one task; others as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if _bytes(df) < cores * SMALL and len(df.inputFiles()) < cores else df
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A table by keys in parts of bounded bytes, so that what a task holds does not grow with the input."""
+    size, cores = _bytes(df), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-size // PART)), *keys) if size < UNKNOWN else df.repartition(*keys)

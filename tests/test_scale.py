@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
-from docsift.operators import retrieval
+from docsift.operators import cleaning, retrieval
 from docsift.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -180,3 +180,31 @@ def test_dense_search_multiplies_some_rows_at_a_time(spark, monkeypatch):
     list(caught[0]([vectors.selectExpr("vec_id as vec", "embedding").toPandas()]))
     assert sum(n for n, _ in seen) == 300
     assert max(n * q for n, q in seen) <= 100
+
+
+def test_cleaning_shuffles_blocks_once(spark):
+    """Every step is a window within a document; blocks were joined with themselves, and shuffled and cleaned again for it."""
+    t = catalogue.Tables(spark, SF)
+    text = plan(cleaning.audit(cleaning.traced(t.blocks().drop("level", "atomic"))))
+    assert "Join" not in text
+    assert text.count("Exchange hashpartitioning(document_id") == 1
+    assert text.count("Scan parquet") == 1
+
+
+def test_merged_blocks_are_the_pairs_of_pages(spark):
+    """Pairs by windows against pairs by aggregation, with excluded blocks and chains through pages of one block."""
+    rng, rows = random.Random(8), []
+    for d in range(150):
+        seq = 0
+        for page in range(1, rng.randint(2, 7)):
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                rows.append((d, seq, rng.choice(["Alpha beta", "goes on", "retriev-", "ends here.", " "]), page + (page > 3 and d % 3 == 0), rng.choice(["text", "text", "text", "table"]), rng.random() < 0.2))
+                seq += 1
+    blocks = cleaning.prepared(spark.createDataFrame(rows, "document_id long, block_seq int, text string, page int, block_type string, excluded boolean"))
+    want = {(r.document_id, r.left_seq, r.right_seq, r.text) for r in cleaning.cross_page_merges(blocks).collect()}
+    done = cleaning.merged(blocks).collect()
+    assert len(done) == len(rows)
+    texts = {(r.document_id, r.block_seq): r.text for r in done if r.operations and r.operations[-1].op == "cross_page_paragraph_merge"}
+    assert texts == {(d, left): text for d, left, _, text in want}
+    assert {(r.document_id, r.block_seq) for r in done if r.gone} == {(d, right) for d, _, right, _ in want}
+    assert len(want) > 30
